@@ -32,10 +32,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi_join(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of `df` whose `column` occurs in `ids`; `ids` is broadcast only after its rows were counted."""
+def semi_join(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows of `df` whose `column` occurs in `ids` (or, with left_anti, doesn't); `ids` is broadcast only after its
+    rows were counted."""
     small = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, column, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, column, how)
 
 
 def with_position(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
