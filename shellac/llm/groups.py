@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1024
 
 
-def in_blocks(members: DataFrame, key: str, node: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_blocks(members: DataFrame, key: str, node: str, payload: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """`members` with columns group (a long for each pair of blocks of each key) and block, sorted by group.
 
-    Keys of one row go. A key of s rows has ceil(s / block_rows) blocks, dealt by a hash of `node`; each pair of
+    Keys of one row go; the others' rows get what `payload` has of their node. A key of s rows has ceil(s / block_rows) blocks, dealt by a hash of `node`; each pair of
     blocks, and each block with itself, is a group, so every pair of rows of a key meets in exactly one group
     (rows of one block meet in the group of that block alone)."""
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     blocks = F.ceil(F.col("_rows") / F.lit(block_rows)).cast("int")
-    cut = members.join(sizes, key).withColumn("_blocks", blocks)
+    cut = members.join(sizes, key).join(payload, node).withColumn("_blocks", blocks)
     cut = cut.withColumn("block", F.pmod(F.xxhash64(F.col(node), F.lit(7)), F.col("_blocks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("block", "_other"), F.greatest("block", "_other")
