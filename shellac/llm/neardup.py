@@ -245,8 +245,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         parts = joined(confirmed(pairs))
 
     placed = with_parts(members, "node", "component")
-    left_over = placed.join(mixed(placed, 0).select("key"), "key").join(sets.select("node", "sig"), "node")
-    blocks = groups.in_blocks(left_over, "key", "node").select("group", "block", "alone", "key", "node", "component", "sig")
+    left_over = placed.join(mixed(placed, 0).select("key"), "key")
+    blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "sig")).select("group", "block", "alone", "key", "node", "component", "sig")
     pairs = blocks.mapInArrow(_block_pairs(edges, bound), "a long, b long").distinct()
     parts = joined(confirmed(pairs))
 
