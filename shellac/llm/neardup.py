@@ -4,10 +4,10 @@ Each distinct shingle set gets SYMBOLS b-bit MinHash symbols. A pair of Jaccard
 Binomial(SYMBOLS, 1 - j) number of them, so `distance_bound` gives the distance that a linked pair exceeds with a
 chance of at most MISS. The signature is cut into so many chunks that, by the pigeonhole principle, two signatures
 within that distance differ in at most one symbol of some chunk; leaving out each symbol of each chunk in turn
-enumerates that one allowed error, so every pair within the distance shares a key. Candidates within the distance
-are then confirmed on their full shingle sets.
+enumerates that one allowed error, so every pair within the distance shares a key. Candidates within the distance,
+and within the bound of CHECKS more symbols, are then confirmed on their full shingle sets.
 
-Members of one key are not expanded into all pairs at once: two rounds compare them with one hub each, and only
+Members of one key are not expanded into all pairs at once: three rounds compare them with one hub each, and only
 those that are still in different components are then compared with each other, in blocks of bounded size.
 """
 
@@ -28,25 +28,29 @@ from shellac.llm.scratch import semi_join, written
 #: Symbols of a signature, two bytes each, and the chance that a pair right at the threshold is missed.
 SYMBOLS = 64
 MISS = 1e-4
+#: Further symbols, one byte each, that sharpen the distance of candidates before their sets are fetched.
+CHECKS = 384
 #: Hub rounds: the hub of a key is its member of least `node xor salt`.
-HUB_SALTS = (0, 0x2B99_2DDF_A232_49D6)
+HUB_SALTS = (0, 0x2B99_2DDF_A232_49D6, 0x5851_F42D_4C95_7F2D)
 #: Candidate pairs compared at once in a task.
 PAIRS_AT_ONCE = 100_000
 
 _MULTIPLY = (shingles._odd_words("permute", SYMBOLS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (shingles._odd_words("shift", SYMBOLS) >> np.uint64(32)).astype(np.uint32)
 _SYMBOL_WORDS = shingles._odd_words("symbol", SYMBOLS)
+_CHECK_MULTIPLY = (shingles._odd_words("check", CHECKS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_CHECK_ADD = (shingles._odd_words("check shift", CHECKS) >> np.uint64(32)).astype(np.uint32)
 
 
-def distance_bound(percent: int) -> int:
-    """Least r with P(Binomial(SYMBOLS, 1 - percent / 100) > r) <= MISS."""
+def distance_bound(percent: int, symbols: int = SYMBOLS) -> int:
+    """Least r with P(Binomial(symbols, 1 - percent / 100) > r) <= MISS."""
     p = 1 - percent / 100
     below = 0.0
-    for r in range(SYMBOLS + 1):
-        below += math.comb(SYMBOLS, r) * p**r * (1 - p) ** (SYMBOLS - r)
+    for r in range(symbols + 1):
+        below += math.comb(symbols, r) * p**r * (1 - p) ** (symbols - r)
         if 1 - below <= MISS:
             return r
-    return SYMBOLS
+    return symbols
 
 
 def chunk_edges(bound: int) -> list[int]:
@@ -55,15 +59,24 @@ def chunk_edges(bound: int) -> list[int]:
     return [round(i * SYMBOLS / count) for i in range(count + 1)]
 
 
+def _least(hashes: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """Each permutation's least hash of a non-empty set."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(multiply), np.uint32(0xFFFFFFFF), dtype=np.uint32)
+    for at in range(0, len(short), 1024):
+        np.minimum(least, (multiply[:, None] * short[None, at : at + 1024] + add[:, None]).min(axis=1), out=least)
+    return least.astype(np.uint64)
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
     """SYMBOLS 16-bit symbols of a non-empty shingle set: a mix of each permutation's least hash."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(SYMBOLS, np.uint32(0xFFFFFFFF), dtype=np.uint32)
-    for at in range(0, len(short), 4096):
-        part = short[at : at + 4096]
-        np.minimum(least, (_MULTIPLY[:, None] * part[None, :] + _ADD[:, None]).min(axis=1), out=least)
-    mixed = shingles.mix64(least.astype(np.uint64) + _SYMBOL_WORDS)
-    return (mixed >> np.uint64(48)).astype(np.uint16)
+    return (shingles.mix64(_least(hashes, _MULTIPLY, _ADD) + _SYMBOL_WORDS) >> np.uint64(48)).astype(np.uint16)
+
+
+def marks(hashes: np.ndarray) -> bytes:
+    """The signature and CHECKS further 8-bit symbols."""
+    checks = shingles.mix64(_least(hashes, _CHECK_MULTIPLY, _CHECK_ADD)) >> np.uint64(56)
+    return signature(hashes).tobytes() + checks.astype(np.uint8).tobytes()
 
 
 def keys_of(signatures: np.ndarray, edges: list[int]) -> np.ndarray:
@@ -100,20 +113,25 @@ def _signer(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def _shingler(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def shingle(batches):
         for batch in batches:
-            signatures, sets = [], []
+            found, sets = [], []
             for hashes in shingles.shingle_sets(batch.column(1), words):
-                signatures.append(signature(hashes).tobytes() if len(hashes) else None)
+                found.append(marks(hashes) if len(hashes) else None)
                 sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())], ["node", "sig", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], ["node", "marks", "hashes"])
 
     return shingle
 
 
-def _as_signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _as_signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), SYMBOLS)
 
 
+def _as_marks(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and checks."""
+    table = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2 * SYMBOLS + CHECKS)
+    return np.ascontiguousarray(table[:, : 2 * SYMBOLS]).view(np.uint16), table[:, 2 * SYMBOLS :]
+
+
 def _key_maker(edges: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def make(batches):
         for whole in batches:
@@ -126,14 +144,17 @@ def _key_maker(edges: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return make
 
 
-def _close(bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b, sig_a, sig_b) whose signatures are within the bound."""
+def _close(bound: int, wide_bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b, marks_a, marks_b) within the bounds of the signature and of all symbols."""
 
     def close(batches):
-        for batch in batches:
-            if batch.num_rows:
-                apart = (_as_signatures(batch.column(2)) != _as_signatures(batch.column(3))).sum(axis=1)
-                yield batch.select([0, 1]).filter(pa.array(apart <= bound))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                (x, more_x), (y, more_y) = _as_marks(batch.column(2)), _as_marks(batch.column(3))
+                apart = (x != y).sum(axis=1)
+                near = (apart <= bound) & (apart + (more_x != more_y).sum(axis=1) <= wide_bound)
+                yield batch.select([0, 1]).filter(pa.array(near))
 
     return close
 
@@ -155,24 +176,25 @@ def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return confirm
 
 
-def _block_pairs(edges: list[int], bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a key in different components and within the bound; a pair comes from the first key it shares."""
+def _block_pairs(edges: list[int], bound: int, wide_bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a key in different components and within the bounds; a pair comes from the first key it shares."""
 
     def compare(batches):
         for table in groups.whole_groups(batches):
-            signatures = _as_signatures(table["sig"])
+            signatures, checks = _as_marks(table["marks"])
             nodes, parts, keys = (table[c].to_numpy() for c in ("node", "component", "key"))
             for i, j in groups.pairs_in(table, PAIRS_AT_ONCE):
                 other = parts[i] != parts[j]
                 i, j = i[other], j[other]
-                near = (signatures[i] != signatures[j]).sum(axis=1) <= bound
-                i, j = i[near], j[near]
-                if not len(i):
-                    continue
+                apart = (signatures[i] != signatures[j]).sum(axis=1)
+                near = apart <= bound
+                i, j, apart = i[near], j[near], apart[near]
                 left = keys_of(signatures[i], edges)
                 shared = (left == keys_of(signatures[j], edges)).argmax(axis=1)
                 first = left[np.arange(len(i)), shared] == keys[i]
-                i, j = nodes[i[first]], nodes[j[first]]
+                i, j, apart = i[first], j[first], apart[first]
+                near = apart + (checks[i] != checks[j]).sum(axis=1) <= wide_bound
+                i, j = nodes[i[near]], nodes[j[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     return compare
@@ -189,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
-    bound = distance_bound(percent)
+    bound, wide_bound = distance_bound(percent), distance_bound(percent, SYMBOLS + CHECKS)
     edges = chunk_edges(bound)
     source = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))
     signed = written(source.mapInArrow(_signer(words), "node long, size long, d1 long, d2 long, sig binary"))
@@ -204,16 +226,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
     involved = members.select("node").distinct()
     texts = semi_join(source, written(involved), "node").distinct()
-    sets = written(texts.mapInArrow(_shingler(words), "node long, sig binary, hashes binary").filter("sig IS NOT NULL"))
+    sets = written(texts.mapInArrow(_shingler(words), "node long, marks binary, hashes binary").filter("marks IS NOT NULL"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        def sides(found: DataFrame, column: str) -> DataFrame:
-            for side in ("a", "b"):
-                found = found.join(sets.select(F.col("node").alias(side), F.col(column).alias(f"of_{side}")), side)
-            return found.select("a", "b", "of_a", "of_b")
+    def sides(pairs: DataFrame, column: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(column).alias(f"of_{side}")), side)
+        return pairs.select("a", "b", "of_a", "of_b")
 
-        near = sides(pairs, "sig").mapInArrow(_close(bound), "a long, b long")
-        return sides(near, "hashes").mapInArrow(_confirm(percent), "a long, b long")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return sides(pairs, "hashes").mapInArrow(_confirm(percent), "a long, b long")
 
     parts: DataFrame | None = None
 
@@ -242,12 +263,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         star = placed.join(mixed(placed, salt), "key").select("node", "component", "hub").filter("node != hub").distinct()
         star = with_parts(star, "hub", "hub_component").filter("component != hub_component")
         pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        parts = joined(confirmed(pairs))
+        near = sides(pairs, "marks").mapInArrow(_close(bound, wide_bound), "a long, b long")
+        parts = joined(confirmed(near))
 
     placed = with_parts(members, "node", "component")
     left_over = placed.join(mixed(placed, 0).select("key"), "key")
-    blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "sig")).select("group", "block", "alone", "key", "node", "component", "sig")
-    pairs = blocks.mapInArrow(_block_pairs(edges, bound), "a long, b long").distinct()
+    blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "marks")).select("group", "block", "alone", "key", "node", "component", "marks")
+    pairs = blocks.mapInArrow(_block_pairs(edges, bound, wide_bound), "a long, b long").distinct()
     parts = joined(confirmed(pairs))
 
     merged = with_parts(classes.select("d1", "d2", "size", "node", "copies"), "node", "component")
