@@ -136,7 +136,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     found = whole.groupBy("norm").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     found = found.select(F.sha2("norm", 256).alias("sha"), "members")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
-    found = thin.join(found, "sha").groupBy("sha").agg(F.max("members").alias("members"), first)
+    # rows are grouped before the join, and the result is written, so that Spark can split a large group in the joins
+    found = written(thin.groupBy("sha").agg(first).join(found, "sha"))
 
     out = thin.join(found, "sha", "left")
     alone = F.col("members").isNull()
