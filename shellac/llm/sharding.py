@@ -83,7 +83,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_column: str = "doc_id",
     total = thin.count()
     floor, more = divmod(total, shards)
     same = thin.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("linked"))
-    same = same.filter("linked > 1")
+    same = written(same.filter("linked > 1"))  # as a table, so that Spark can split a large group in the join
     grouped = written(thin.join(same, "digest", "left"))
     links = grouped.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     labels = propagate(links, shards, floor)
