@@ -1,0 +1 @@
+"""Analytics and curation of media catalogs as DataFrame operators."""
