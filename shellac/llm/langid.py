@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shellac.llm.scratch import small_batches
 from shellac.llm.shingles import text_buffers
 
 ORDERS = (2, 3, 4)
@@ -29,7 +30,7 @@ UNKNOWN = "und"
 
 _SLOT_BITS = 20
 _ROWS = 256
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -143,6 +144,7 @@ def train_language_model(labelled: DataFrame) -> LanguageModel | None:
     Of each label, at most SAMPLE_PER_LABEL texts are taken, those of least hash; of these, LANDMARKS_PER_LABEL are
     landmarks. Only their n-gram counts and packed presence rows, of bounded size, reach the driver.
     """
+    small_batches(labelled.sparkSession)
     usable = labelled.filter(F.col("label").isNotNull() & F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
     if len(counts) > MOST_LABELS:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shellac.llm import groups, shingles
 from shellac.llm.components import components
-from shellac.llm.scratch import semi_join, written
+from shellac.llm.scratch import semi_join, small_batches, written
 
 #: Symbols of a signature, two bytes each, and the chance that a pair right at the threshold is missed.
 SYMBOLS = 64
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
+    small_batches(docs.sparkSession)
     bound, wide_bound = distance_bound(percent), distance_bound(percent, SYMBOLS + CHECKS)
     edges = chunk_edges(bound)
     source = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))

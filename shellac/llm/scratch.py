@@ -14,6 +14,17 @@ BROADCAST_ROWS = 2_000_000
 _OWN_FOLDER: list[str] = []
 
 
+#: Rows that Spark hands to Python at once; texts are long, so fewer than Spark's default.
+PYTHON_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold of a table of texts: at most PYTHON_ROWS rows at once in this session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= PYTHON_ROWS:
+        spark.conf.set(name, str(PYTHON_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where that is unset, as in tests, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

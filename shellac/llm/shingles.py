@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is taken alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
