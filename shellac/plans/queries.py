@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.functions import tags
@@ -28,8 +28,9 @@ def _of_log(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(catalog.view(spark, sf_dir, catalog.OP_LOG_SQL))
 
 
-def _columns(**columns) -> Query:
-    return _of_tracks(lambda t: t.select("recording_id", *[c.alias(n) for n, c in columns.items()]))
+def _columns(columns: Callable[[], dict[str, Column]]) -> Query:
+    """Computed columns beside the id; they are made only when the query is, since that needs a session."""
+    return _of_tracks(lambda t: t.select("recording_id", *[c.alias(n) for n, c in columns().items()]))
 
 
 _T = f"WITH tracks AS ({catalog.TRACKS_SQL}) "
@@ -50,28 +51,28 @@ _SHARE = "SELECT value, count(*) AS tracks, round(100.0 * count(*) / sum(count(*
 #: name: (query, SQL)
 PAIRS: dict[str, tuple[Query, str]] = {
     "b2_split_artists": (
-        _columns(artists=F.array_join(tags.split_artists(F.col("artists_raw")), "|")),
+        _columns(lambda: dict(artists=F.array_join(tags.split_artists(F.col("artists_raw")), "|"))),
         _T + "SELECT recording_id, replace(artists_raw, ', ', '|') AS artists FROM tracks",
     ),
     "b3_clean_artist": (
-        _columns(artist=tags.clean_artist(F.col("primary_artist"))),
+        _columns(lambda: dict(artist=tags.clean_artist(F.col("primary_artist")))),
         _T + "SELECT recording_id, regexp_replace(primary_artist, '^The ', '') AS artist FROM tracks",
     ),
     "b5_standard_genre": (
-        _columns(genre=tags.standard_genre(F.col("genre"))),
+        _columns(lambda: dict(genre=tags.standard_genre(F.col("genre")))),
         _T + "SELECT recording_id, CASE genre WHEN 'electronica' THEN 'Electronic' WHEN 'rock, pop' THEN 'Rock, Pop' ELSE genre END AS genre FROM tracks",
     ),
     "b9_sort_name": (
-        _columns(sort_name=tags.sort_name(F.col("primary_artist")), letter=tags.first_letter(F.col("primary_artist"))),
+        _columns(lambda: dict(sort_name=tags.sort_name(F.col("primary_artist")), letter=tags.first_letter(F.col("primary_artist")))),
         _T + "SELECT recording_id, CASE WHEN starts_with(primary_artist, 'The ') THEN concat(substr(primary_artist, 5), ', The') ELSE primary_artist END AS sort_name, "
         "upper(substr(regexp_replace(primary_artist, '^The ', ''), 1, 1)) AS letter FROM tracks",
     ),
     "b12_identity_key": (
-        _columns(key=tags.identity_key(F.col("primary_artist"), F.col("title"), F.col("album"), F.col("track_number"))),
+        _columns(lambda: dict(key=tags.identity_key(F.col("primary_artist"), F.col("title"), F.col("album"), F.col("track_number")))),
         _T + f"SELECT recording_id, {_KEY} AS key FROM tracks",
     ),
     "b17_completeness": (
-        _columns(score=F.round(tags.completeness([F.col(c) for c in ("title", "primary_artist", "album", "year", "genre", "track_number", "bitrate", "disc_number", "duration_seconds")]), 6)),
+        _columns(lambda: dict(score=F.round(tags.completeness([F.col(c) for c in ("title", "primary_artist", "album", "year", "genre", "track_number", "bitrate", "disc_number", "duration_seconds")]), 6))),
         _T + "SELECT recording_id, round((4 + (year IS NOT NULL)::INT + (genre IS NOT NULL)::INT + 0.5 * (2 + (bitrate IS NOT NULL)::INT)) / 7.5, 6) AS score FROM tracks",
     ),
     "c2_by_artist": (
