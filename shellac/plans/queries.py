@@ -14,7 +14,7 @@ from shellac.sources import catalog
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _of_tracks(operator: Callable[[DataFrame], DataFrame]) -> Query:
+def of_tracks(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(catalog.tracks(spark, sf_dir))
 
 
@@ -24,13 +24,13 @@ def _of_inventories(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Qu
     )
 
 
-def _of_log(operator: Callable[[DataFrame], DataFrame]) -> Query:
+def of_log(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(catalog.view(spark, sf_dir, catalog.OP_LOG_SQL))
 
 
 def _columns(columns: Callable[[], dict[str, Column]]) -> Query:
     """Computed columns beside the id; they are made only when the query is, since that needs a session."""
-    return _of_tracks(lambda t: t.select("recording_id", *[c.alias(n) for n, c in columns().items()]))
+    return of_tracks(lambda t: t.select("recording_id", *[c.alias(n) for n, c in columns().items()]))
 
 
 _T = f"WITH tracks AS ({catalog.TRACKS_SQL}) "
@@ -76,21 +76,21 @@ PAIRS: dict[str, tuple[Query, str]] = {
         _T + "SELECT recording_id, round((4 + (year IS NOT NULL)::INT + (genre IS NOT NULL)::INT + 0.5 * (2 + (bitrate IS NOT NULL)::INT)) / 7.5, 6) AS score FROM tracks",
     ),
     "c2_by_artist": (
-        _of_tracks(lambda t: curation.by_artist(t, "supplier#000000003")),
+        of_tracks(lambda t: curation.by_artist(t, "supplier#000000003")),
         _T + "SELECT recording_id, title FROM tracks WHERE list_contains(string_split(lower(artists_raw), ', '), 'supplier#000000003')",
     ),
     "c4_search": (
-        _of_tracks(lambda t: curation.search(t, "greatest hits")),
+        of_tracks(lambda t: curation.search(t, "greatest hits")),
         _T + "SELECT recording_id, score FROM (SELECT recording_id, "
         + " + ".join(f"CASE WHEN lower({c}) = 'greatest hits' THEN 100 WHEN contains(lower({c}), 'greatest hits') THEN 10 ELSE 0 END" for c in ("title", "primary_artist", "album"))
         + " AS score FROM tracks) WHERE score > 0 ORDER BY score DESC, recording_id LIMIT 20",
     ),
     "d7_usual_genre": (
-        _of_tracks(statistics.usual_genre),
+        of_tracks(statistics.usual_genre),
         _T + "SELECT primary_artist, genre FROM tracks WHERE genre IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY primary_artist ORDER BY count(*) DESC, genre) = 1",
     ),
     "d8_collaborators": (
-        _of_tracks(statistics.collaborators),
+        of_tracks(statistics.collaborators),
         _A + "SELECT a.artist, b.artist AS other, count(DISTINCT a.recording_id) AS tracks FROM artists a JOIN artists b USING (recording_id) WHERE a.artist <> b.artist GROUP BY 1, 2",
     ),
     "d9_detect_changes": (
@@ -98,61 +98,61 @@ PAIRS: dict[str, tuple[Query, str]] = {
         _I + "SELECT path, CASE WHEN p.size IS NULL THEN 'new' WHEN c.size IS NULL THEN 'removed' WHEN p.size = c.size AND p.mtime = c.mtime THEN 'unchanged' ELSE 'modified' END AS change FROM p FULL JOIN c USING (path)",
     ),
     "f1_duplicates_by_tags": (
-        _of_tracks(curation.duplicates_by_tags),
+        of_tracks(curation.duplicates_by_tags),
         _T + f"SELECT {_KEY} AS key, count(*) AS tracks, min(recording_id) AS first FROM tracks GROUP BY 1 HAVING count(*) > 1",
     ),
     "f4_duplicates_by_size": (
-        _of_tracks(curation.duplicates_by_size),
+        of_tracks(curation.duplicates_by_size),
         _T + "SELECT size_bytes, count(*) AS tracks FROM tracks GROUP BY 1 HAVING count(*) > 1",
     ),
-    "f13_quality_score": (_of_tracks(curation.quality_score), _T + f"SELECT recording_id, {_QUALITY} AS quality FROM tracks"),
+    "f13_quality_score": (of_tracks(curation.quality_score), _T + f"SELECT recording_id, {_QUALITY} AS quality FROM tracks"),
     "f14_keep_best": (
-        _of_tracks(curation.keep_best),
+        of_tracks(curation.keep_best),
         _T + f"SELECT recording_id, key, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY quality DESC, recording_id) = 1 THEN 'keep' ELSE 'delete' END AS action "
         f"FROM (SELECT recording_id, {_KEY} AS key, {_QUALITY} AS quality FROM tracks) QUALIFY count(*) OVER (PARTITION BY key) > 1",
     ),
     "g1_library_stats": (
-        _of_tracks(statistics.library_stats),
+        of_tracks(statistics.library_stats),
         _A + "SELECT count(*) AS tracks, count(DISTINCT (primary_artist, album)) AS albums, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(duration_seconds) AS BIGINT) AS seconds, "
         "round(avg(bitrate), 6) AS avg_bitrate, (SELECT count(DISTINCT lower(artist)) FROM artists) AS artists FROM tracks",
     ),
-    "g2_format_distribution": (_of_tracks(lambda t: statistics.distribution(t, F.col("file_type"))), _T + _SHARE.format("file_type")),
+    "g2_format_distribution": (of_tracks(lambda t: statistics.distribution(t, F.col("file_type"))), _T + _SHARE.format("file_type")),
     "g3_genre_distribution": (
-        _of_tracks(statistics.genre_distribution),
+        of_tracks(statistics.genre_distribution),
         _T + "SELECT genre, count(*) AS tracks FROM (SELECT trim(unnest(string_split(genre, ','))) AS genre FROM tracks) WHERE genre <> '' GROUP BY 1",
     ),
     "g4_decade_distribution": (
-        _of_tracks(lambda t: statistics.distribution(t, tags.decade(F.col("year")))),
+        of_tracks(lambda t: statistics.distribution(t, tags.decade(F.col("year")))),
         _T + _SHARE.format("CAST(CAST(floor(year / 10) * 10 AS BIGINT) AS VARCHAR) || 's'"),
     ),
     "g5_top_artists": (
-        _of_tracks(statistics.top_artists),
+        of_tracks(statistics.top_artists),
         _T + "SELECT primary_artist, count(*) AS tracks FROM tracks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     ),
     "g6_quality_distribution": (
-        _of_tracks(lambda t: statistics.distribution(t, tags.bitrate_band(F.col("bitrate")))),
+        of_tracks(lambda t: statistics.distribution(t, tags.bitrate_band(F.col("bitrate")))),
         _T + _SHARE.format("CASE WHEN bitrate IS NULL THEN 'unknown' WHEN bitrate >= 320 THEN '320+' WHEN bitrate >= 256 THEN '256-319' WHEN bitrate >= 192 THEN '192-255' WHEN bitrate >= 128 THEN '128-191' ELSE 'below 128' END"),
     ),
     "g9_artist_stats": (
-        _of_tracks(statistics.artist_stats),
+        of_tracks(statistics.artist_stats),
         _A + "SELECT artist, count(*) AS tracks, count(DISTINCT album) AS releases, CAST(sum(duration_seconds) AS BIGINT) AS seconds, min(year) AS first_year, max(year) AS last_year, "
         "coalesce(string_agg(DISTINCT genre, '|' ORDER BY genre), '') AS genres FROM artists GROUP BY 1",
     ),
     "g15_releases": (
-        _of_tracks(statistics.releases),
+        of_tracks(statistics.releases),
         _T + "SELECT primary_artist, album, count(*) AS tracks, CAST(sum(duration_seconds) AS BIGINT) AS seconds, CAST(sum(size_bytes) AS BIGINT) AS bytes, min(year) AS year FROM tracks GROUP BY 1, 2",
     ),
     "h7_track_order": (
-        _of_tracks(curation.track_order),
+        of_tracks(curation.track_order),
         _T + "SELECT recording_id, CAST(row_number() OVER (PARTITION BY primary_artist, album ORDER BY track_number, lower(title), recording_id) AS INT) AS place FROM tracks",
     ),
-    "h9_latest_operations": (_of_log(curation.latest_operations), _L + "SELECT id, session_id, operation_type, status, file_size FROM latest"),
+    "h9_latest_operations": (of_log(curation.latest_operations), _L + "SELECT id, session_id, operation_type, status, file_size FROM latest"),
     "h10_session_counters": (
-        _of_log(curation.session_counters),
+        of_log(curation.session_counters),
         _L + "SELECT session_id, count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, CAST(sum(file_size) AS BIGINT) AS bytes FROM latest GROUP BY 1",
     ),
     "i3_top_releases": (
-        _of_tracks(statistics.top_releases),
+        of_tracks(statistics.top_releases),
         _T + "SELECT primary_artist, album, count(*) AS tracks, CAST(row_number() OVER (PARTITION BY primary_artist ORDER BY count(*) DESC, album) AS INT) AS place FROM tracks GROUP BY 1, 2 QUALIFY place <= 3",
     ),
     "j2_removed_paths": (_of_inventories(curation.removed_paths), _I + "SELECT path FROM p WHERE path NOT IN (SELECT path FROM c)"),

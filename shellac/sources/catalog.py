@@ -21,6 +21,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round
   CASE l_linestatus WHEN 'F' THEN 44100 ELSE 96000 END AS sample_rate,
   CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'flac' WHEN 'AO' THEN 'wav' WHEN 'NF' THEN 'mp3' WHEN 'NO' THEN 'm4a' WHEN 'RF' THEN 'ogg' ELSE 'wma' END AS file_type,
   CAST(round(l_extendedprice * 1000) AS BIGINT) AS size_bytes,
+  concat('/music/', coalesce(genre, 'Unknown'), '/', primary_artist, '/', album, '/', title, '.', file_type) AS path,
   l_shipdate AS created_at
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
 JOIN nation ON n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
@@ -43,6 +44,21 @@ SELECT CAST(floor(event_id / 2) AS BIGINT) AS id, event_id AS record, concat(use
 FROM events
 """
 
+#: Accesses of files; a file's version is the day.
+ACCESS_LOG_SQL = "SELECT concat('/u/', user_id) AS file_path, event_id AS record, ts, date_trunc('day', ts) AS mtime FROM events"
+
+#: Domain events of each aggregate, with the number of their payload.
+DOMAIN_EVENTS_SQL = """
+SELECT event_id AS record, user_id AS aggregate_id, ts, event_type,
+  CASE event_type WHEN 'signup' THEN 'RecordingAdded' WHEN 'view' THEN 'MetadataUpdated' WHEN 'error' THEN 'RecordingRemoved'
+    WHEN 'click' THEN 'ClassificationCompleted' ELSE 'FileMoved' END AS kind,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS value
+FROM events
+"""
+
+#: Pairs of texts that share some words.
+TEXT_PAIRS_SQL = f"SELECT DISTINCT title AS a, concat(split_part(title, ' ', 2), ' ', album) AS b FROM ({TRACKS_SQL}) t"
+
 _TABLES = ("lineitem", "part", "supplier", "nation", "orders", "customer", "events")
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shellac.functions import tags
-from shellac.plans import queries
+from shellac.plans import registry as queries
 
 SF = "/root/testdata/sf0.001"
 
