@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shellac.llm.scratch import written
@@ -17,7 +17,8 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     The least node comes from a partially aggregated group-by and a join, so a hub needs no list of neighbours."""
     around = _both_ways(edges)
     least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = around.join(least, "a")
+    # a merge join, whatever the size: a broadcast in each step would only add jobs and buffers to the driver
+    joined = around.join(least.hint("merge"), "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -37,9 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        edges = written(_step(_step(edges, large=True), large=False))
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == seen or state[0] == 0:
+        # the count and checksum are taken while the round is written, so they need no job of their own
+        observed = Observation()
+        stepped = _step(_step(edges, large=True), large=False)
+        edges = written(stepped.observe(observed, F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")))
+        state = observed.get
+        if state == seen or state["edges"] == 0:
             break
         seen = state
     # at the fixed point every edge leads from a node to its component's least node
