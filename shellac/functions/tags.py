@@ -76,3 +76,50 @@ def word_jaccard(a: Column, b: Column) -> Column:
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def parse_artists(text: Column) -> Column:
+    """Artists of a credit, split at the first kind of separator that it has; the first one is the main artist."""
+    out = F.array(F.trim(text))
+    for separator in reversed((" feat\\. ", " featuring ", " with ", " & ", " x ", " and ")):
+        split = F.transform(F.split(text, f"(?i){separator}"), lambda a: F.trim(a))
+        out = F.when(text.rlike(f"(?i){separator}"), split).otherwise(out)
+    return out
+
+
+def parse_track_number(text: Column) -> Column:
+    """The first run of digits ("5", "5/12", "Track 5"); null without one."""
+    return F.regexp_extract(text, "(\\d+)", 1).try_cast("int")
+
+
+def padded_track(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
+def extract_year(text: Column) -> Column:
+    """Four leading digits, else the first year of the last or this century; null without either."""
+    found = (F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")) for pattern in ("^(\\d{4})", "((?:19|20)\\d{2})"))
+    return F.coalesce(*found).cast("int")
+
+
+def clock(seconds: Column) -> Column:
+    """MM:SS, without hours."""
+    whole = F.floor(seconds).cast("long")
+    minutes = F.floor(whole / 60).cast("string")
+    return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def given(value: Column) -> Column:
+    """Neither null nor blank."""
+    return F.coalesce(F.trim(value.cast("string")) != "", F.lit(False))
+
+
+def metadata_errors(title: Column, artist: Column, year: Column, track: Column, last_year: int) -> Column:
+    """Names of the rules that the tags break, in order; `last_year` is the latest year allowed."""
+    checks = {
+        "title required": ~given(title),
+        "artist required": ~given(artist),
+        "year out of range": (year < 1900) | (year > last_year),
+        "negative track": track < 0,
+    }
+    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks.items()]))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shellac.plans import measures, planning, queries
+from shellac.plans import measures, planning, queries, resolving, streams
 
 #: name: (query, SQL)
-PAIRS: dict[str, tuple[queries.Query, str]] = queries.PAIRS | planning.PAIRS | measures.PAIRS
+PAIRS: dict[str, tuple[queries.Query, str]] = queries.PAIRS | planning.PAIRS | measures.PAIRS | resolving.PAIRS | streams.PAIRS
 
 QUERIES: dict[str, queries.Query] = {name: query for name, (query, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()}
