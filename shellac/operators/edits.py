@@ -63,7 +63,9 @@ def _edited(df: DataFrame, edit: Edit) -> Column:
         find, put = substitution(edit.pattern)
         return F.transform(now, lambda v: F.regexp_replace(v, find, put)) if is_array else F.regexp_replace(now, find, put).cast(kind)
     if edit.operation == "copy":
-        return F.coalesce(F.col(edit.source).cast(kind), now)
+        source = F.col(edit.source)
+        filled = F.size(source) > 0 if df.schema[edit.source].dataType.typeName() == "array" else F.trim(source.cast("string")) != ""
+        return F.when(filled, source.cast(kind)).otherwise(now)
     if edit.operation == "rename":
         old, new = F.lit(edit.old), F.lit(edit.value)
         return F.transform(now, lambda v: F.when(v == old, new).otherwise(v)) if is_array else F.when(now == old, new).otherwise(now)
