@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shellac.llm.scratch import written
@@ -38,11 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        # the count and checksum are taken while the round is written, so they need no job of their own
-        observed = Observation()
-        stepped = _step(_step(edges, large=True), large=False)
-        edges = written(stepped.observe(observed, F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")))
-        state = observed.get
+        edges = written(_step(_step(edges, large=True), large=False))
+        # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
+        state = edges.agg(F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
         if state == seen or state["edges"] == 0:
             break
         seen = state
