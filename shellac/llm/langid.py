@@ -1,7 +1,8 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of n-grams (of 2 to 4 bytes) that both have, over the root of the product of
-their own numbers: a blended-spectrum presence kernel. Its alphabet is the n-grams that most landmarks have.
+their own numbers: a blended-spectrum presence kernel. Its alphabet is the n-grams that most landmarks of each
+language have, the same number for each, filled up with those that most landmarks of all have.
 Landmarks give Nyström features, on which one ridge regression per language tells it from the rest. Texts are scored
 in batches: presence matrix times landmark matrix, times the regression's weights.
 """
@@ -24,6 +25,8 @@ ORDERS = (2, 3, 4)
 SAMPLE_PER_LABEL = 300
 LANDMARKS_PER_LABEL = 40
 ALPHABET = 4096
+#: Each language's own n-grams in the alphabet, at least; many languages widen the alphabet.
+LEAST_PER_LABEL = 64
 MOST_LABELS = 500
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -118,13 +121,15 @@ def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _grams_of(batches):
-    """Distinct n-grams of each text, with their order in the upper bits."""
+    """Distinct n-grams of each text, with their order in the upper bits, beside the text's label."""
     for batch in batches:
+        labels = iter(batch.column(1).to_pylist())
         for data, offsets in _chunks(batch.column(0)):
             for low, high in zip(offsets, offsets[1:], strict=False):
                 folded = _FOLD[data[low:high]]
                 found = [np.unique(_codes(folded, o)).astype(np.int64) | (o << 32) for o in ORDERS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["gram"])
+                grams = pa.array(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array([next(labels)] * len(grams), pa.string()), grams], ["label", "gram"])
 
 
 def _featurer(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -158,8 +163,12 @@ def train_language_model(labelled: DataFrame) -> LanguageModel | None:
     sample = usable.select(F.lower("text").alias("text"), "label", draw.alias("draw")).filter(F.col("draw") <= share)
     sample = sample.withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LABEL).select("text", "label", "place").persist()
     try:
-        grams = sample.filter(F.col("place") <= LANDMARKS_PER_LABEL).select("text").mapInArrow(_grams_of, "gram long")
-        top = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(ALPHABET).collect()
+        grams = sample.filter(F.col("place") <= LANDMARKS_PER_LABEL).select("text", "label").mapInArrow(_grams_of, "label string, gram long")
+        each = max(LEAST_PER_LABEL, ALPHABET // len(counts))
+        own = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram")) <= each
+        grams = grams.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
+        grams = grams.groupBy("gram").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
+        top = grams.orderBy(F.desc("own"), F.desc("n"), "gram").limit(max(ALPHABET, each * len(counts))).collect()
         chosen = np.array(sorted(r["gram"] for r in top), dtype=np.int64)
         alphabet = {o: (chosen[chosen >> 32 == o] & 0xFFFFFFFF).astype(np.uint32) for o in ORDERS}
         labels = sorted(counts)
