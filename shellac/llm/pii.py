@@ -34,6 +34,10 @@ PATTERNS = (
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Rounds of deriving anew before it is an error; each leaves a small share.
 MOST_ATTEMPTS = 50
+#: Attempts in an entity's own form; later ones widen it, so that a full form doesn't end the job.
+WIDEN_AFTER = 5
+#: Letters that a widened mailbox has more, and the length that it keeps of its own (64 is the most for a mailbox).
+_MORE_LETTERS, _MAILBOX = 8, 56
 
 _LATIN = ("bdfgklmnprstvz", "aeiou")
 _CYRILLIC = ("бвгдзклмнпрст", "аеиоу")
@@ -89,8 +93,12 @@ def _luhn(digits: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
-    """Surrogate of an entity in normal form, for an attempt."""
+    """Surrogate of an entity in normal form, for an attempt.
+
+    From WIDEN_AFTER attempts on, mailboxes get more letters, numbers another first digit, and addresses of
+    192.168.0.0/16 any of 10.0.0.0/8; after as many more, private addresses become any address."""
     stream = _stream(key, kind, norm, attempt)
+    wide, wider = attempt >= WIDEN_AFTER, attempt >= 2 * WIDEN_AFTER
     chars = F.filter(F.split(norm, ""), lambda c: c != "")
 
     def like(c: Column, i: Column) -> Column:
@@ -103,18 +111,23 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     mailbox, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     box = F.filter(F.split(mailbox, ""), lambda c: c != "")
     host = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), domain), 256), 1, 10)
-    email = F.concat(F.array_join(F.transform(box, like), ""), F.lit("@mail"), host, F.lit(".example"))
+    # bytes that no character of a mailbox uses
+    letters = [F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _byte(stream, F.lit(100 + n)) % 26 + 1, F.lit(1)) for n in range(_MORE_LETTERS)]
+    own = F.array_join(F.transform(box, like), "")
+    own = F.when(wide, F.concat(F.substring(own, 1, _MAILBOX), *letters)).otherwise(own)
+    email = F.concat(own, F.lit("@mail"), host, F.lit(".example"))
 
-    numbers = F.array_join(F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise((_byte(stream, i) % 10).cast("string"))), "")
+    numbers = F.array_join(F.transform(chars, lambda c, i: F.when((i == 0) & ~wide, c).otherwise((_byte(stream, i) % 10).cast("string"))), "")
     # a card number that passes the Luhn check gets one that does
     body = F.substring(numbers, F.lit(1), F.length(numbers) - 1)
     check = F.concat(body, F.pmod(10 - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
     card = F.when(F.pmod(_luhn(norm), F.lit(10)) == 0, check).otherwise(numbers)
 
     octets = F.transform(F.array(*map(F.lit, range(4))), lambda i: (_byte(stream, i) % 254 + 1).cast("string"))
-    ip = F.when(norm.startswith("10."), F.concat(F.lit("10."), F.array_join(F.slice(octets, 2, 3), "."))).when(
-        norm.startswith("192.168."), F.concat(F.lit("192.168."), F.array_join(F.slice(octets, 3, 2), "."))
-    ).otherwise(F.array_join(octets, "."))
+    ten = F.concat(F.lit("10."), F.array_join(F.slice(octets, 2, 3), "."))
+    local = F.concat(F.lit("192.168."), F.array_join(F.slice(octets, 3, 2), "."))
+    ip = F.when(~wider & norm.startswith("192.168."), F.when(wide, ten).otherwise(local))
+    ip = ip.when(~wider & norm.startswith("10."), ten).otherwise(F.array_join(octets, "."))
 
     secret = F.substring(stream, F.lit(1), F.length(norm))
 
@@ -144,7 +157,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, surrogate) for distinct entities (kind, norm): of one kind, no two share a surrogate, and none is
-    itself an entity. In each round the losers of a clash (all but the least norm) are derived anew."""
+    itself an entity. In each round the losers of a clash (all but the least norm) are derived anew, from some round on
+    in a wider form (see surrogate)."""
     family = F.element_at(F.split("kind", ":"), 1)
     done = None
     open_rows = written(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)))
