@@ -24,11 +24,14 @@ def _without_dropped(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with an identified language and sets `lang` to it; texts without any letter go.
 
-    Learns from the labels of documents that are not held out (see langid.identify_languages)."""
+    Learns from the labels of documents that are not held out (see langid.identify_languages). If there are none to
+    learn from, every text with a letter stays, with its `lang` as it is, whatever LANGUAGES says."""
     ship(spark)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     labelled = docs.filter(~held_out).select("text", F.col("lang").alias("label"))
     model = langid.train_language_model(labelled)
+    if model is None:
+        return docs.filter(F.col("text").cast("string").rlike("\\p{L}"))
     found = langid.language_of(model, F.col("text").cast("string"))["lang_pred"]
     tagged = docs.withColumn("lang", found)
     wanted = F.col("lang") != langid.UNKNOWN
