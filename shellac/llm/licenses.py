@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm.scratch import BROADCAST_ROWS
+from shellac.llm.scratch import if_small
 
 #: Spellings that count as equal, as regular expressions on lower-case text.
 EQUIVALENT = (
@@ -132,8 +132,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: st
     known = known.filter(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     rows = docs.select(F.col(id_column).alias("id"), canonical_lines(F.col(text_column).cast("string")).alias("lines"))
     rows = rows.select("id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.array_join(_notice_ids(F.col("lines")), ",").alias("notices"))
-    small = known.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(known) if small else known, "digest", "left").select(F.col("id").alias(id_column), "digest", "license_id", "notices")
+    return rows.join(if_small(known), "digest", "left").select(F.col("id").alias(id_column), "digest", "license_id", "notices")
 
 
 def _sql_literal(text: str) -> str:

@@ -7,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it has at most this many rows; 16 bytes a row make 32 MB.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only if it was measured to have at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 _OWN_FOLDER: list[str] = []
 
@@ -26,28 +27,46 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir of the session; where that is unset, as in tests on a local master, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="spark-shellac-"))
     return _OWN_FOLDER[0]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors. The
+    table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shellac-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if its rows, measured now, have BROADCAST_BYTES at most; else as it is."""
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum(sizes, F.lit(16 * len(df.columns)).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def semi_join(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
-    """Rows of `df` whose `column` occurs in `ids` (or, with left_anti, doesn't); `ids` is broadcast only after its
-    rows were counted."""
-    small = ids.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, column, how)
+    """Rows of `df` whose `column` occurs in `ids` (or, with left_anti, doesn't); `ids` is broadcast only if small."""
+    return df.join(if_small(ids), column, how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front as long as `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def with_position(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
@@ -68,6 +87,7 @@ def with_position(df: DataFrame, order: list[str], name: str, within: list[str]
     left, right = ranged.alias("l"), offsets.alias("r")
     for c in ["_part", *within]:
         same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    # without `within` a row for each partition
     joined = left.join(F.broadcast(right) if not within else right, same)
     return joined.select(
         *[F.col(f"l.`{c}`") for c in df.columns],
