@@ -1,16 +1,15 @@
 """Language identification by string kernels.
 
 The kernel of two texts is the number of n-grams (of 2 to 4 bytes) that both have, over the root of the product of
-their own numbers: a blended-spectrum presence kernel. Its alphabet is the n-grams that most landmarks of each
-language have, the same number for each, filled up with those that most landmarks of all have.
-Landmarks give Nyström features, on which one ridge regression per language tells it from the rest. Texts are scored
-in batches: presence matrix times landmark matrix, times the regression's weights.
+their own numbers: a blended-spectrum presence kernel. All n-grams of a text count, each hashed to one of SLOTS
+places. Landmarks give Nyström features, on which one ridge regression per language tells it from the rest. Texts are
+scored in batches: presence matrix times the product of the landmarks' matrix and the regressions' weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +20,19 @@ from shellac.llm.scratch import small_batches
 from shellac.llm.shingles import text_buffers
 
 ORDERS = (2, 3, 4)
-#: Bounds of what is fitted on: documents of each language, landmarks among them, n-grams of the alphabet, languages.
-SAMPLE_PER_LABEL = 300
-LANDMARKS_PER_LABEL = 40
-ALPHABET = 4096
-#: Each language's own n-grams in the alphabet, at least; many languages widen the alphabet.
-LEAST_PER_LABEL = 64
-MOST_LABELS = 500
+#: Places that n-grams are hashed to.
+SLOT_BITS = 16
+SLOTS = 1 << SLOT_BITS
+#: Bounds of what is fitted on: distinct texts of each language and of all together, landmarks likewise. Where there are
+#: more languages than SAMPLE // LEAST_PER_LABEL, each still has LEAST_PER_LABEL texts and a landmark.
+SAMPLE_PER_LABEL, SAMPLE, LEAST_PER_LABEL = 300, 12_000, 4
+LANDMARKS_PER_LABEL, LANDMARKS = 40, 2000
 RIDGE = 1e-3
 UNKNOWN = "und"
 
-_SLOT_BITS = 20
 _ROWS = 256
 _SEGMENT = 1 << 18
+_MULTIPLY = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -51,67 +50,42 @@ def _codes(data: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Presence matrix (rows by SLOTS) of the texts data[offsets[i]:offsets[i + 1]], read whole in overlapping segments."""
+    rows = len(offsets) - 1
+    flags = np.zeros(rows * SLOTS, dtype=bool)
+    first, last = int(offsets[0]), int(offsets[-1])
+    for at in range(first, last, _SEGMENT):
+        stop = min(last, at + _SEGMENT + max(ORDERS) - 1)
+        folded = _FOLD[data[at:stop]]
+        row = np.searchsorted(offsets, np.arange(at, stop), side="right") - 1 if rows > 1 else np.zeros(stop - at, dtype=np.int64)
+        for order in ORDERS:
+            codes = _codes(folded, order)
+            mixed = codes * _MULTIPLY[order]
+            place = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - SLOT_BITS)
+            own = row[: len(codes)]
+            inside = own == row[order - 1 : order - 1 + len(codes)]  # not over the end of a text
+            flags[own[inside] * SLOTS + place[inside]] = True
+    return flags.reshape(rows, SLOTS)
+
+
+def _scaled(flags: np.ndarray) -> np.ndarray:
+    """Presence rows over the roots of their numbers, so that their products are kernel values."""
+    return flags.astype(np.float32) / np.sqrt(np.maximum(1, np.count_nonzero(flags, axis=1)))[:, None].astype(np.float32)
+
+
 @dataclass
 class LanguageModel:
-    """Sorted labels, alphabet by order, landmarks' normalised presence, and weights from kernel values to scores."""
+    """Sorted labels, and for each a weight of each place and a bias: the kernel values with the landmarks are linear in
+    a text's scaled presence, so landmarks and regression weights are multiplied out once."""
 
     labels: list[str]
-    alphabet: dict[int, np.ndarray]
-    landmarks: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
-    _tables: dict = field(default_factory=dict, repr=False, compare=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_tables": {}}
-
-    @property
-    def width(self) -> int:
-        return sum(map(len, self.alphabet.values()))
-
-    def _table(self, order: int) -> tuple[np.uint32, np.ndarray, int]:
-        """Multiplier and table that find an n-gram's place in the alphabet, and the order's first place."""
-        if order not in self._tables:
-            own = self.alphabet[order]
-            base = sum(len(self.alphabet[o]) for o in self.alphabet if o < order)
-            rng = np.random.default_rng(order)
-            while True:
-                multiplier = np.uint32(rng.integers(1, 1 << 32) | 1)
-                slots = (own * multiplier) >> np.uint32(32 - _SLOT_BITS)
-                if len(np.unique(slots)) == len(own):
-                    break
-            table = np.full(1 << _SLOT_BITS, -1, dtype=np.int16)
-            table[slots] = np.arange(len(own))
-            self._tables[order] = (multiplier, table, base)
-        return self._tables[order]
-
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Presence matrix of the texts data[offsets[i]:offsets[i + 1]], read whole in overlapping segments."""
-        rows = len(offsets) - 1
-        flags = np.zeros(rows * self.width, dtype=bool)
-        first, last = int(offsets[0]), int(offsets[-1])
-        for at in range(first, last, _SEGMENT):
-            stop = min(last, at + _SEGMENT + max(ORDERS) - 1)
-            folded = _FOLD[data[at:stop]]
-            row = np.searchsorted(offsets, np.arange(at, stop), side="right") - 1 if rows > 1 else np.zeros(stop - at, dtype=np.int64)
-            for order in ORDERS:
-                codes = _codes(folded, order)
-                multiplier, table, base = self._table(order)
-                place = table[(codes * multiplier) >> np.uint32(32 - _SLOT_BITS)]
-                hits = np.flatnonzero(place >= 0)
-                place = place[hits]
-                # not of another n-gram in the same slot, nor over the end of a text
-                same = (self.alphabet[order][place] == codes[hits]) & (row[hits] == row[hits + order - 1])
-                flags[row[hits[same]] * self.width + base + place[same]] = True
-        return flags.reshape(rows, self.width)
-
-    def kernel(self, flags: np.ndarray) -> np.ndarray:
-        """Kernel values of presence rows with the landmarks."""
-        own = np.sqrt(np.maximum(1, flags.sum(axis=1)))[:, None]
-        return (flags.astype(np.float32) @ self.landmarks.T) / own
 
     def scores(self, flags: np.ndarray) -> np.ndarray:
-        return self.kernel(flags) @ self.weights + self.bias
+        own = np.sqrt(np.maximum(1, np.count_nonzero(flags, axis=1)))[:, None]
+        return (flags.astype(np.float32) @ self.weights) / own + self.bias
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,69 +94,55 @@ def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield data, offsets[at : min(at + _ROWS, len(column)) + 1]
 
 
-def _grams_of(batches):
-    """Distinct n-grams of each text, with their order in the upper bits, beside the text's label."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed presence of each text, beside its label and place in the sample."""
     for batch in batches:
-        labels = iter(batch.column(1).to_pylist())
-        for data, offsets in _chunks(batch.column(0)):
-            for low, high in zip(offsets, offsets[1:], strict=False):
-                folded = _FOLD[data[low:high]]
-                found = [np.unique(_codes(folded, o)).astype(np.int64) | (o << 32) for o in ORDERS]
-                grams = pa.array(np.concatenate(found))
-                yield pa.RecordBatch.from_arrays([pa.array([next(labels)] * len(grams), pa.string()), grams], ["label", "gram"])
+        bits = [np.packbits(row).tobytes() for data, offsets in _chunks(batch.column(0)) for row in presence(data, offsets)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["label", "place", "bits"])
 
 
-def _featurer(model: LanguageModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packed presence of each text, beside its label and place in the sample."""
+def _sample(labelled: DataFrame) -> tuple[DataFrame, list[str], int]:
+    """Distinct texts (text, label, place from 1 on) of each label, those of least hash; the labels; landmarks of each.
 
-    def features(batches):
-        for batch in batches:
-            bits = [np.packbits(row).tobytes() for data, offsets in _chunks(batch.column(0)) for row in model.presence(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(bits, pa.binary())], ["label", "place", "bits"])
-
-    return features
+    Distinct texts are what is counted and drawn from, so copies take nobody's place. One row per label reaches the
+    driver; a threshold on the hash, a few times what is needed, leaves few rows to the grouping and the window."""
+    usable = labelled.filter(F.col("label").isNotNull() & F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    usable = usable.select(F.lower("text").alias("text"), "label")
+    counts = usable.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    found = {r["label"]: max(1, r["n"]) for r in counts.collect()}
+    each = min(SAMPLE_PER_LABEL, max(LEAST_PER_LABEL, SAMPLE // max(1, len(found))))
+    if not found:
+        return usable.withColumn("place", F.lit(1)), [], 1
+    # an estimate too high by half still leaves enough
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, 3 * each / n)) for k, n in found.items()], "label string, share double")
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
+    drawn = usable.withColumn("draw", draw).join(F.broadcast(shares), "label").filter(F.col("draw") <= F.col("share"))  # a row per label
+    distinct = drawn.groupBy("label", "draw", F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "digest"))
+    sample = distinct.withColumn("place", place).filter(F.col("place") <= each).select("text", "label", "place")
+    return sample, sorted(found), min(LANDMARKS_PER_LABEL, max(1, LANDMARKS // len(found)))
 
 
 def train_language_model(labelled: DataFrame) -> LanguageModel | None:
     """Fits on columns text and label; rows without a label or a letter are left out; None if none are left.
 
-    Of each label, at most SAMPLE_PER_LABEL texts are taken, those of least hash; of these, LANDMARKS_PER_LABEL are
-    landmarks. Only their n-gram counts and packed presence rows, of bounded size, reach the driver.
+    Of each label's distinct texts, at most SAMPLE_PER_LABEL are taken, those of least hash (fewer, down to
+    LEAST_PER_LABEL, where there are so many labels that all would be more than SAMPLE); the first of these, at most
+    LANDMARKS_PER_LABEL, are landmarks. Only their packed presence rows, of bounded size, reach the driver. Repeated
+    rows count once; one label alone is learned as the answer to every text; any number of labels is learned.
     """
     small_batches(labelled.sparkSession)
-    usable = labelled.filter(F.col("label").isNotNull() & F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LABELS + 1).collect()}
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    if not counts:
+    sample, labels, landmarks = _sample(labelled)
+    if not labels:
         return None
-    # a hash threshold leaves a few times the sample, of which the least hashes of each label are taken
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * SAMPLE_PER_LABEL / n))]), F.col("label"))
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))
-    sample = usable.select(F.lower("text").alias("text"), "label", draw.alias("draw")).filter(F.col("draw") <= share)
-    sample = sample.withColumn("place", place).filter(F.col("place") <= SAMPLE_PER_LABEL).select("text", "label", "place").persist()
-    try:
-        grams = sample.filter(F.col("place") <= LANDMARKS_PER_LABEL).select("text", "label").mapInArrow(_grams_of, "label string, gram long")
-        each = max(LEAST_PER_LABEL, ALPHABET // len(counts))
-        own = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram")) <= each
-        grams = grams.groupBy("label", "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
-        grams = grams.groupBy("gram").agg(F.sum("n").alias("n"), F.max("own").alias("own"))
-        top = grams.orderBy(F.desc("own"), F.desc("n"), "gram").limit(max(ALPHABET, each * len(counts))).collect()
-        chosen = np.array(sorted(r["gram"] for r in top), dtype=np.int64)
-        alphabet = {o: (chosen[chosen >> 32 == o] & 0xFFFFFFFF).astype(np.uint32) for o in ORDERS}
-        labels = sorted(counts)
-        model = LanguageModel(labels, alphabet, np.empty(0), np.empty(0), np.empty(0))
-        rows = sample.mapInArrow(_featurer(model), "label string, place int, bits binary").orderBy("label", "place").collect()
-    finally:
-        sample.unpersist()
-    flags = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8), count=model.width) for r in rows]).astype(bool)
-    marks = flags[[r["place"] <= LANDMARKS_PER_LABEL for r in rows]].astype(np.float32)
-    model.landmarks = marks / np.sqrt(np.maximum(1, marks.sum(axis=1)))[:, None]
-    values, vectors = np.linalg.eigh(model.kernel(marks.astype(bool)).astype(np.float64))
-    solid = values > 1e-6 * values.max() if values.max() > 0 else np.zeros(len(values), dtype=bool)
+    rows = sample.mapInArrow(_packed, "label string, place int, bits binary").orderBy("label", "place").collect()
+    flags = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in rows]).astype(bool)
+    marks = _scaled(flags[[r["place"] <= landmarks for r in rows]])
+    kernel = np.concatenate([_scaled(flags[at : at + _ROWS]) @ marks.T for at in range(0, len(flags), _ROWS)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    solid = values > 1e-6 * values.max()
     project = vectors[:, solid] / np.sqrt(values[solid])
-    features = model.kernel(flags).astype(np.float64) @ project
+    features = kernel @ project
     target = np.array([[float(r["label"] == x) for x in labels] for r in rows])
     # every language weighs the same, whatever its share of the sample
     weight = (1 / target.sum(axis=0))[target.argmax(axis=1)][:, None]
@@ -190,9 +150,8 @@ def train_language_model(labelled: DataFrame) -> LanguageModel | None:
     centred = features - mean
     gram = centred.T @ (weight * centred) + RIDGE * weight.sum() * np.eye(centred.shape[1])
     ridge = np.linalg.solve(gram, centred.T @ (weight * (target - level)))
-    model.weights = (project @ ridge).astype(np.float32)
-    model.bias = (level - mean @ ridge).astype(np.float32)
-    return model
+    weights = (marks.T @ (project @ ridge).astype(np.float32)).astype(np.float32)
+    return LanguageModel(labels, weights, (level - mean @ ridge).astype(np.float32))
 
 
 def language_of(model: LanguageModel | None, text: Column) -> Column:
@@ -205,7 +164,7 @@ def language_of(model: LanguageModel | None, text: Column) -> Column:
     def predict(texts: pa.Array) -> pa.Array:
         names, values = [], []
         for data, offsets in _chunks(texts):
-            scores = model.scores(model.presence(data, offsets))
+            scores = model.scores(presence(data, offsets))
             best = scores.argmax(axis=1)
             names += [model.labels[i] for i in best]
             values += np.clip(scores[np.arange(len(best)), best], 0, 1).tolist()
