@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellac.llm.scratch import BROADCAST_ROWS, written
+from shellac.llm.scratch import if_small, written
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 KEY_BITS = 40
@@ -57,9 +57,10 @@ def mix_sources(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    key_column: str | None = None,
 ) -> DataFrame:
-    """One row per document: id, size (words), source_size, target (its source's budget), taken (words that the mix
-    takes of it, repeats counted).
+    """One row per document: id (and key_column, if given: a long that tells rows apart), size (words), source_size,
+    target (its source's budget), taken (words that the mix takes of it, repeats counted).
 
     A source passes whole as often as its budget holds, then documents follow in the order of their keys until the
     budget, rounded down to a word, is spent to the word. Nulls and texts without words have size 0 and are taken 0
@@ -72,13 +73,13 @@ def mix_sources(
         F.col(source_column).cast("string").alias("source"),
         word_count(F.col(text_column)).alias("size"),
         F.shiftrightunsigned(key, 64 - KEY_BITS).alias("key"),
+        (F.col(key_column) if key_column else F.lit(0)).cast("long").alias("row"),
     )
     thin = written(thin)
     sources = thin.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
     targets = written(source_targets(sources, weights, most_repeats))
-    small = targets.count() <= BROADCAST_ROWS
     targets = targets.withColumnRenamed("source", "_source")
-    placed = thin.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_source")))
+    placed = thin.join(if_small(targets), F.col("source").eqNullSafe(F.col("_source")))
     # ranges of key space: the square root of the rows in number and, about, in size
     ranges = F.ceil(F.sqrt("rows"))
     placed = placed.withColumn("range", F.floor(F.col("key") * ranges / F.lit(float(1 << KEY_BITS))).cast("long"))
@@ -87,7 +88,7 @@ def mix_sources(
     spans = placed.groupBy("source", "range").agg(F.sum("size").alias("span"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("span").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     summed = summed.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
 
@@ -95,6 +96,7 @@ def mix_sources(
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size")
     cut = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("offset") - F.col("inside")))
+    own = [F.col("row").alias(key_column)] if key_column else []
     return summed.select(
-        F.col("id").alias(id_column), "size", "source_size", "target", (passes * F.col("size") + cut).cast("long").alias("taken")
+        F.col("id").alias(id_column), *own, "size", "source_size", "target", (passes * F.col("size") + cut).cast("long").alias("taken")
     )
