@@ -7,18 +7,29 @@ from pyspark.sql import functions as F
 
 from shellac.llm.scratch import written
 
+#: A node of more neighbours than this, and than a HUBS-th of all edge ends, is a hub; so there are at most HUBS.
+HUB_EDGES = 500
+HUBS = 100_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
+def _step(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
     """One star step: each node hands the least node it knows of to its larger (or else smaller) neighbours.
-    The least node comes from a partially aggregated group-by and a join, so a hub needs no list of neighbours."""
+
+    The least node comes from a partially aggregated group-by and a join. Nodes of more than `hub` neighbours, at most
+    HUBS of them, are joined by a broadcast, so that no task gets all edges of a hub; None if there are none."""
     around = _both_ways(edges)
-    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
     # a merge join, whatever the size: a broadcast in each step would only add jobs and buffers to the driver
-    joined = around.join(least.hint("merge"), "a")
+    joined = around.join(least.select("a", "m").hint("merge"), "a") if hub is None else None
+    if joined is None:
+        hubs = F.broadcast(least.filter(F.col("n") > hub).select("a", "m"))
+        others = least.filter(F.col("n") <= hub).select("a", "m")
+        joined = around.join(hubs, "a").select("a", "b", "m")
+        joined = joined.unionAll(around.join(hubs, "a", "left_anti").join(others.hint("merge"), "a").select("a", "b", "m"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -29,21 +40,29 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """Edges, a checksum of them, and the most edges of one node."""
+    # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
+    ends = _both_ways(edges).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
+    return tuple(ends.agg(F.coalesce(F.sum("n"), F.lit(0)) / 2, F.coalesce(F.bit_xor("x"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b): component is the least node that it reaches.
 
     Edges with a null end and loops are left out; repeated edges don't matter; no edges give no rows. Each round is
-    written to the shared folder; only a row count and a checksum come to the driver.
+    written to the shared folder; only a row count, a checksum and the largest degree come to the driver.
     """
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        edges = written(_step(_step(edges, large=True), large=False))
-        # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
-        state = edges.agg(F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
-        if state == seen or state["edges"] == 0:
+    state = _state(edges)
+    while state[0]:
+        hub = max(HUB_EDGES, int(2 * state[0] / HUBS))
+        if state[2] <= hub:
+            hub = None
+        edges = written(_step(_step(edges, True, hub), False, hub))
+        seen, state = state, _state(edges)
+        if state == seen:
             break
-        seen = state
     # at the fixed point every edge leads from a node to its component's least node
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

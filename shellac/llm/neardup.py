@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shellac.llm import groups, shingles
 from shellac.llm.components import components
-from shellac.llm.scratch import semi_join, small_batches, written
+from shellac.llm.scratch import if_small, semi_join, small_batches, with_position, written
 
 #: Symbols of a signature, two bytes each, and the chance that a pair right at the threshold is missed.
 SYMBOLS = 64
@@ -32,6 +32,8 @@ MISS = 1e-4
 CHECKS = 384
 #: Hub rounds: the hub of a key is its member of least `node xor salt`.
 HUB_SALTS = (0, 0x2B99_2DDF_A232_49D6, 0x5851_F42D_4C95_7F2D)
+#: Groups over which the pairs of one hub are dealt.
+PARTS_OF_HUB = 64
 #: Candidate pairs compared at once in a task.
 PAIRS_AT_ONCE = 100_000
 
@@ -89,6 +91,11 @@ def keys_of(signatures: np.ndarray, edges: list[int]) -> np.ndarray:
     return shingles.mix64(out + np.arange(SYMBOLS, dtype=np.uint64)).view(np.int64)
 
 
+def _digests(hashes: np.ndarray) -> list[np.uint64]:
+    """Two digests of a shingle set; equal sets, and with their size no others, have both equal."""
+    return [shingles.mix64(hashes ^ np.uint64(salt)).sum(dtype=np.uint64) for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)]
+
+
 def _signer(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sign(batches):
         for batch in batches:
@@ -99,25 +106,28 @@ def _signer(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for i, hashes in enumerate(shingles.shingle_sets(batch.column(1), words)):
                 sizes[i] = len(hashes)
                 if len(hashes):
-                    for k, salt in enumerate((0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)):
-                        digests[k, i] = shingles.mix64(hashes ^ np.uint64(salt)).sum(dtype=np.uint64)
+                    digests[:, i] = _digests(hashes)
                     signatures.append(signature(hashes).tobytes())
                 else:
                     signatures.append(None)
             columns = [batch.column(0), pa.array(sizes), *(pa.array(x.view(np.int64)) for x in digests), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "d1", "d2", "sig"])
 
     return sign
 
 
 def _shingler(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Digests, marks and hashes of the texts that have shingles."""
+
     def shingle(batches):
         for batch in batches:
-            found, sets = [], []
-            for hashes in shingles.shingle_sets(batch.column(1), words):
-                found.append(marks(hashes) if len(hashes) else None)
-                sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(sets, pa.binary())], ["node", "marks", "hashes"])
+            ids, rows = batch.column(0).to_pylist(), []
+            for own, hashes in zip(ids, shingles.shingle_sets(batch.column(1), words), strict=True):
+                if len(hashes):
+                    rows.append((own, len(hashes), *(int(x.view(np.int64)) for x in _digests(hashes)), marks(hashes), hashes.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["id", "size", "d1", "d2", "marks", "hashes"])
 
     return shingle
 
@@ -144,36 +154,49 @@ def _key_maker(edges: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return make
 
 
-def _close(bound: int, wide_bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b, marks_a, marks_b) within the bounds of the signature and of all symbols."""
-
-    def close(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                (x, more_x), (y, more_y) = _as_marks(batch.column(2)), _as_marks(batch.column(3))
-                apart = (x != y).sum(axis=1)
-                near = (apart <= bound) & (apart + (more_x != more_y).sum(axis=1) <= wide_bound)
-                yield batch.select([0, 1]).filter(pa.array(near))
-
-    return close
+def _against_hubs(near: Callable[[np.ndarray, np.ndarray], bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (a, b) whose payloads pass `near`, from rows (a, b, payload) in which each run of rows of one a starts with
+    a's own, of null b. A run may go on over batches; only its first row is kept."""
 
-
-def _confirm(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs (a, b, hashes_a, hashes_b) whose sets are similar enough, both sets in full."""
-
-    def confirm(batches):
+    def compare(batches):
+        hub, own = None, np.empty(0)
         for batch in batches:
+            ends, others = batch.column(0).to_numpy(), batch.column(1)
+            first = others.is_null().to_numpy(zero_copy_only=False)
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint64) for c in (2, 3))
-                small, large = sorted((len(x), len(y)))
-                if 100 * small >= percent * large and large:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                payload = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint8)
+                if first[i]:
+                    hub, own = ends[i], payload.copy()
+                elif ends[i] == hub:
+                    keep[i] = near(own, payload)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return confirm
+    return compare
+
+
+def _marks_near(bound: int, wide_bound: int) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Within the bounds of the signature and of all symbols."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
+        apart = np.count_nonzero(x[: 2 * SYMBOLS].view(np.uint16) != y[: 2 * SYMBOLS].view(np.uint16))
+        return apart <= bound and apart + np.count_nonzero(x[2 * SYMBOLS :] != y[2 * SYMBOLS :]) <= wide_bound
+
+    return near
+
+
+def _sets_near(percent: int) -> Callable[[np.ndarray, np.ndarray], bool]:
+    """Similar enough, both sets in full."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
+        x, y = x.view(np.uint64), y.view(np.uint64)
+        small, large = sorted((len(x), len(y)))
+        if not large or 100 * small < percent * large:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return near
 
 
 def _block_pairs(edges: list[int], bound: int, wide_bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -214,28 +237,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     small_batches(docs.sparkSession)
     bound, wide_bound = distance_bound(percent), distance_bound(percent, SYMBOLS + CHECKS)
     edges = chunk_edges(bound)
-    source = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))
-    signed = written(source.mapInArrow(_signer(words), "node long, size long, d1 long, d2 long, sig binary"))
-
-    # texts with equal sets are one class, for which its least id stands
-    classes = signed.filter("size > 0 AND node IS NOT NULL").groupBy("d1", "d2", "size")
-    classes = written(classes.agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")))
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    signed = written(source.mapInArrow(_signer(words), "id long, size long, d1 long, d2 long, sig binary"))
+    of_set = ["d1", "d2", "size"]
+
+    # texts with equal sets are one class and one node, for which its least id stands
+    usable = signed.filter("size > 0 AND id IS NOT NULL")
+    classes = usable.groupBy(*of_set).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.col("id")))
+    # an id that several rows have may stand for several classes: these get numbers above all ids, and links to the id
+    repeated = written(usable.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"))
+    id_links: DataFrame | None = None
+    if not repeated.isEmpty():
+        most = usable.agg(F.max("id")).first()[0]
+        others = with_position(semi_join(classes, repeated, "id"), ["id", *of_set], "place")
+        others = others.withColumn("node", F.col("place") + F.lit(most) + 1).drop("place")
+        classes = written(semi_join(classes, repeated, "id", "left_anti").unionByName(others))
+        rows = semi_join(usable, repeated, "id").join(classes.select(*of_set, "node"), of_set)
+        id_links = written(rows.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct())
 
     keys = classes.select("node", "sig").mapInArrow(_key_maker(edges), "key long, node long")
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    members = written(keys.join(shared.hint("shuffle_hash"), "key"))
-
-    involved = members.select("node").distinct()
-    texts = semi_join(source, written(involved), "node").distinct()
-    sets = written(texts.mapInArrow(_shingler(words), "node long, marks binary, hashes binary").filter("marks IS NOT NULL"))
-
-    def sides(pairs: DataFrame, column: str) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(column).alias(f"of_{side}")), side)
-        return pairs.select("a", "b", "of_a", "of_b")
+    members = written(keys.join(shared, "key"))
+
+    # the sets of the classes that share a key, each from a row of the class's id
+    involved = written(semi_join(classes.select("node", "id", *of_set), members.select("node").distinct(), "node"))
+    texts = semi_join(source, involved.select("id").distinct(), "id")
+    sets = texts.mapInArrow(_shingler(words), "id long, size long, d1 long, d2 long, marks binary, hashes binary")
+    sets = sets.join(if_small(involved), ["id", *of_set]).select("node", "marks", "hashes")
+    sets = written(sets if id_links is None else sets.dropDuplicates(["node"]))
+
+    def compared(pairs: DataFrame, column: str, near: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+        """The pairs (a, b) of which `column` of `sets` is near; a is the end that may have very many pairs. Each a's
+        payload goes to at most PARTS_OF_HUB groups, to which its pairs are dealt, never to each pair."""
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS_OF_HUB)).cast("int"))
+        payload = sets.select("node", F.col(column).alias("payload"))
+        heads = dealt.select("a", "part").distinct().join(payload.withColumnRenamed("node", "a"), "a")
+        heads = heads.select("a", F.lit(None).cast("long").alias("b"), "part", "payload")
+        rows = heads.unionAll(dealt.join(payload.withColumnRenamed("node", "b"), "b").select("a", "b", "part", "payload"))
+        rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "payload")
+        return rows.mapInArrow(_against_hubs(near), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return sides(pairs, "hashes").mapInArrow(_confirm(percent), "a long, b long")
+        return compared(pairs, "hashes", _sets_near(percent))
 
     parts: DataFrame | None = None
 
@@ -253,18 +297,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         return table.join(own, node, "left").withColumn(name, F.coalesce("_own", node)).drop("_own")
 
     def mixed(table: DataFrame, salt: int) -> DataFrame:
-        """Keys whose members are in more than one component, with a hub."""
-        hubs = table.groupBy("key").agg(
-            F.min(F.col("node").bitwiseXOR(F.lit(salt))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        return hubs.filter("low < high").select("key", F.col("hub").bitwiseXOR(F.lit(salt)).alias("hub"))
+        """Keys whose members are in more than one component, with a hub and its component."""
+        least = F.min(F.struct(F.col("node").bitwiseXOR(F.lit(salt)).alias("hub"), F.col("component").alias("hub_component"))).alias("least")
+        hubs = table.groupBy("key").agg(least, F.min("component").alias("low"), F.max("component").alias("high"))
+        return hubs.filter("low < high").select("key", F.col("least.hub").bitwiseXOR(F.lit(salt)).alias("hub"), "least.hub_component")
 
     for salt in HUB_SALTS:
         placed = with_parts(members, "node", "component")
-        star = placed.join(mixed(placed, salt), "key").select("node", "component", "hub").filter("node != hub").distinct()
-        star = with_parts(star, "hub", "hub_component").filter("component != hub_component")
-        pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        near = sides(pairs, "marks").mapInArrow(_close(bound, wide_bound), "a long, b long")
+        star = placed.join(mixed(placed, salt), "key").filter("component != hub_component")
+        pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        near = written(compared(pairs, "marks", _marks_near(bound, wide_bound)))
         parts = joined(confirmed(near))
 
     placed = with_parts(members, "node", "component")
@@ -273,13 +315,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     pairs = blocks.mapInArrow(_block_pairs(edges, bound, wide_bound), "a long, b long").distinct()
     parts = joined(confirmed(pairs))
 
-    merged = with_parts(classes.select("d1", "d2", "size", "node", "copies"), "node", "component")
-    merged = merged.filter("copies > 1 OR component != node").select("d1", "d2", "size", "component")
-    out = signed.select("node", "size", "d1", "d2").join(merged, ["d1", "d2", "size"], "left")
-    component = F.when(F.col("node").isNotNull(), F.coalesce("component", "node"))
+    if id_links is not None:
+        parts = joined(id_links)
+    merged = with_parts(classes.select(*of_set, "node", "copies"), "node", "component")
+    merged = merged.filter("copies > 1 OR component != node").select(*of_set, "component")
+    out = signed.select("id", *of_set).join(merged, of_set, "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
-        F.col("node").alias(id_column),
+        F.col("id").alias(id_column),
         F.col("size").alias("n_shingles"),
         component.alias("component_id"),
-        F.coalesce(component == F.col("node"), F.lit(True)).alias("kept"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
