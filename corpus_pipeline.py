@@ -8,17 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.llm import exact, langid, mixing, neardup, packing
-from shellac.llm.scratch import semi_join, written
+from shellac.llm.scratch import free_name, semi_join, written
 from shellac.ship import ship
 
 #: Identified languages that the corpus is meant to have; None takes every language learned.
 LANGUAGES: tuple[str, ...] | None = None
 
 
-def _without_dropped(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents of which a row is kept; an id names a document, and rows with a null id stay."""
-    dropped = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id")
-    return semi_join(docs, written(dropped), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, written so that it stays the same, and that column's name."""
+    row = free_name(docs, "row_key")
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _one_of_each(keyed: DataFrame, row: str, grouped: DataFrame, group: str) -> DataFrame:
+    """Of the rows in each group (`grouped` has the row's number as doc_id, and `group`), the one of least doc_id, null
+    last, and of rows that repeat an id, the first."""
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    named = grouped.select(F.col("doc_id").alias("row"), F.col(group).alias("group")).join(ids, "row")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    # against the rows that stay, not the groups: a large group is no single key then
+    stay = named.groupBy("group").agg(first).select("first.row")
+    dropped = written(named.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row)))
+    return semi_join(keyed, dropped, row, "left_anti").drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,30 +53,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id among texts that are equal up to white space."""
+    """Keeps one row, that of least doc_id, of those whose texts are equal up to white space, a null counting as empty.
+
+    Rows are told apart by a number of their own: of rows that repeat an id and a text one stays, and so it does of
+    rows without an id (null ids come last). Texts of any length are compared whole; no rows give no rows."""
     ship(spark)
-    return _without_dropped(docs, exact.exact_duplicates(docs))
+    keyed, row = _keyed(docs)
+    found = exact.exact_duplicates(keyed, id_column=row).withColumnRenamed(row, "doc_id")
+    return _one_of_each(keyed, row, found.filter("group_size > 1"), "keep_id").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of least id, of each group linked by similar sets of five-word shingles."""
+    """Keeps one row, that of least doc_id, of each group linked by similar sets of five-word shingles.
+
+    Rows are told apart by a number of their own, as in exact_dedup. Texts without words link with nothing and stay."""
     ship(spark)
-    return _without_dropped(docs, neardup.near_duplicates(docs, words=5, percent=80))
+    keyed, row = _keyed(docs)
+    found = neardup.near_duplicates(keyed, words=5, percent=80, id_column=row).withColumnRenamed(row, "doc_id")
+    return _one_of_each(keyed, row, found, "component_id").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. The document at a source's cut comes whole, so each source is at
-    most one document above its budget."""
+    most one document above its budget.
+
+    Texts that are null or without words have no share and go. Rows are told apart by a number of their own, so rows
+    that repeat an id, or have none, are taken each as often as its own place in the mix says."""
     ship(spark)
-    taken = mixing.mix_sources(docs).filter("taken > 0")
-    times = F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times")
-    times = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(times)
-    copies = docs.join(times, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return copies.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    keyed, row = _keyed(docs)
+    times = free_name(keyed, "times")
+    taken = mixing.mix_sources(keyed, key_column=row).filter("taken > 0")
+    taken = taken.select(row, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    copies = keyed.join(taken, row)
+    return copies.withColumn(row, F.explode(F.sequence(F.lit(1), F.col(f"`{times}`")))).select(*[copies[f"`{c}`"] for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; see packing.pack_documents. Null and empty texts have one piece, the end
+    mark; rows that repeat an id are packed each on its own."""
     ship(spark)
     return packing.pack_documents(docs)
 
@@ -82,7 +108,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each but the last written to the shared folder."""
+    """All stages on `documents`, each but the last written to the shared folder. An empty table gives no pieces; columns
+    beside those of the contract pass through the stages whatever their names."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
