@@ -59,7 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
         hub = max(HUB_EDGES, int(2 * state[0] / HUBS))
         if state[2] <= hub:
             hub = None
-        edges = written(_step(_step(edges, True, hub), False, hub))
+        # with hubs a step reads its edges several times, so each step is written
+        edges = _step(edges, True, hub)
+        edges = written(_step(edges if hub is None else written(edges), False, hub))
         seen, state = state, _state(edges)
         if state == seen:
             break

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shellac.llm import groups, shingles
 from shellac.llm.components import components
-from shellac.llm.scratch import if_small, semi_join, small_batches, with_position, written
+from shellac.llm.scratch import semi_join, small_batches, with_position, written
 
 #: Symbols of a signature, two bytes each, and the chance that a pair right at the threshold is missed.
 SYMBOLS = 64
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     involved = written(semi_join(classes.select("node", "id", *of_set), members.select("node").distinct(), "node"))
     texts = semi_join(source, involved.select("id").distinct(), "id")
     sets = texts.mapInArrow(_shingler(words), "id long, size long, d1 long, d2 long, marks binary, hashes binary")
-    sets = sets.join(if_small(involved), ["id", *of_set]).select("node", "marks", "hashes")
+    # merge joins here and below: broadcasts of so many keys would only fill the driver
+    sets = sets.join(involved.hint("merge"), ["id", *of_set]).select("node", "marks", "hashes")
     sets = written(sets if id_links is None else sets.dropDuplicates(["node"]))
 
     def compared(pairs: DataFrame, column: str, near: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
@@ -303,17 +304,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         return hubs.filter("low < high").select("key", F.col("least.hub").bitwiseXOR(F.lit(salt)).alias("hub"), "least.hub_component")
 
     for salt in HUB_SALTS:
-        placed = with_parts(members, "node", "component")
-        star = placed.join(mixed(placed, salt), "key").filter("component != hub_component")
-        pairs = star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        placed = with_parts(members, "node", "component") if parts is None else written(with_parts(members, "node", "component"))
+        star = placed.join(mixed(placed, salt).hint("merge"), "key").filter("component != hub_component")
+        pairs = written(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+        if pairs.isEmpty():  # the members of each key are in one component
+            break
         near = written(compared(pairs, "marks", _marks_near(bound, wide_bound)))
-        parts = joined(confirmed(near))
-
-    placed = with_parts(members, "node", "component")
-    left_over = placed.join(mixed(placed, 0).select("key"), "key")
-    blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "marks")).select("group", "block", "alone", "key", "node", "component", "marks")
-    pairs = blocks.mapInArrow(_block_pairs(edges, bound, wide_bound), "a long, b long").distinct()
-    parts = joined(confirmed(pairs))
+        if not near.isEmpty():
+            parts = joined(confirmed(near))
+    else:
+        placed = with_parts(members, "node", "component")
+        left_over = placed.join(mixed(placed, 0).select("key").hint("merge"), "key")
+        columns = ["group", "block", "alone", "key", "node", "component", "marks"]
+        blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "marks")).select(*columns)
+        pairs = written(blocks.mapInArrow(_block_pairs(edges, bound, wide_bound), "a long, b long").distinct())
+        if not pairs.isEmpty():
+            parts = joined(confirmed(pairs))
 
     if id_links is not None:
         parts = joined(id_links)
