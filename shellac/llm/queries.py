@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from shellac.llm import embeddings, exact, langid, licenses, mixing, neardup, packing, pii, sharding, urls
 from shellac.ship import ship
 
-#: A deployment sets its own; the surrogates are only as secret as this is.
-SURROGATE_KEY = "replace-me"
+#: Setting of the session with the secret key of op4; the test tables, whose entities are invented, go without.
+KEY_SETTING, TEST_KEY = "spark.shellac.surrogateKey", "for invented data only"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_personal_data(_table(spark, sf_dir, "documents"), key=SURROGATE_KEY)
+    return pii.replace_personal_data(_table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
