@@ -40,11 +40,8 @@ def _step(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int, int]:
-    """Edges, a checksum of them, and the most edges of one node."""
-    # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
-    ends = _both_ways(edges).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"))
-    return tuple(ends.agg(F.coalesce(F.sum("n"), F.lit(0)) / 2, F.coalesce(F.bit_xor("x"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+def _largest_degree(edges: DataFrame) -> int:
+    return _both_ways(edges).groupBy("a").count().agg(F.max("count")).first()[0] or 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,17 +51,19 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder; only a row count, a checksum and the largest degree come to the driver.
     """
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(edges)
-    while state[0]:
-        hub = max(HUB_EDGES, int(2 * state[0] / HUBS))
-        if state[2] <= hub:
-            hub = None
-        # with hubs a step reads its edges several times, so each step is written
-        edges = _step(edges, True, hub)
-        edges = written(_step(edges if hub is None else written(edges), False, hub))
-        seen, state = state, _state(edges)
-        if state == seen:
+    seen, number, hub = None, 0, None
+    while True:
+        # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
+        state = edges.agg(F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
+        if state == seen or state["edges"] == 0:
             break
+        if number < 3 and hub is None:  # by then stars have grown
+            least = max(HUB_EDGES, 2 * state["edges"] // HUBS)
+            hub = least if _largest_degree(edges) > least else None
+        # with hubs a step reads its edges several times, so each step is written
+        large = _step(edges, True, hub)
+        edges = written(_step(large if hub is None else written(large), False, hub))
+        seen, number = state, number + 1
     # at the fixed point every edge leads from a node to its component's least node
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
