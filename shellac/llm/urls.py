@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 GRAM_SIZES = (2, 3, 4, 5)
 BUCKETS = 1 << 15
-PENALTY = 0.002
+PENALTY = 0.01
 
 #: (host, path, verdict): fits the host and its subdomains if the path starts with the rule's.
 RULES = (
@@ -20,67 +22,48 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 
-#: Labelled URLs: 1 is to be blocked.
-LABELLED = (
-    ("https://cheap-pills.example.com/en/1", 1),
-    ("http://www.cheap-pills.example.org/buy?x=1", 1),
-    ("https://buy-pills-online.example.com/discount.html", 1),
-    ("https://pharmacy-deals.example.org/no-prescription/", 1),
-    ("https://free-bets.example.com/en/7", 1),
-    ("http://m.free-bets.example.org/casino", 1),
-    ("https://casino-bonus.example.com/slots/free-spins", 1),
-    ("https://poker-bets.example.org/win-cash.html", 1),
-    ("https://lotto-win.example.com/jackpot/claim", 1),
-    ("https://adult-x.example.com/es/9", 1),
-    ("http://www.adult-x.example.org/xxx/video", 1),
-    ("https://xxx-cams.example.com/live-adult", 1),
-    ("https://hot-adult-dating.example.org/join", 1),
-    ("https://ads-track.example.com/en/3", 1),
-    ("http://m.ads-track.example.org/click?banner=4", 1),
-    ("https://track-click-ads.example.com/pixel.gif", 1),
-    ("https://popup-ads.example.org/redirect/offer", 1),
-    ("https://free-download-crack.example.com/keygen.exe", 1),
-    ("https://warez-crack.example.org/serial-keys/", 1),
-    ("https://win-free-phone.example.com/claim-prize", 1),
-    ("https://quick-loan-cash.example.org/apply-now", 1),
-    ("https://spam-offers.example.com/cheap/watches", 1),
-    ("https://fake-luxury-watches.example.org/replica", 1),
-    ("https://miracle-diet-pills.example.com/order", 1),
-    ("https://spam-farm.example.org/en/links", 1),
-    ("http://www.link-farm-spam.example.com/seo/backlinks", 1),
-    ("https://news.example.com/en/1", 0),
-    ("https://reading.example.com/en/12", 0),
-    ("https://blog.table-tennis.example.com/fr/80", 0),
-    ("https://nation.example.com/de/44.html", 0),
-    ("http://m.station.example.com/en/1207?page=2", 0),
-    ("https://able-seamen.example.com/history", 0),
-    ("https://thing.example.com/en/31#top", 0),
-    ("https://www.walking-trails.example.org/hills", 0),
-    ("https://motion.example.org/es/9/", 0),
-    ("http://www.library.example.org/catalogue?page=2", 0),
-    ("https://blog.gardening.example.com/spring/tomatoes.html", 0),
-    ("https://docs.software.example.org/manual/install/", 0),
-    ("https://university.example.com/courses/history", 0),
-    ("http://m.weather.example.org/forecast/today", 0),
-    ("https://recipes.example.com/soup/onion.html", 0),
-    ("https://museum.example.org/exhibits/ancient", 0),
-    ("https://blog.thentin.example.com/en/78?utm_source=feed", 0),
-    ("http://www.therha.example.org/en/297#top", 0),
-    ("https://m.tionsh.example.com/fr/231?page=2&ref=x", 0),
-    ("https://ererin.example.org/es/48", 0),
-    ("https://www.ingthen.example.com/en/923/", 0),
-    ("http://ndthed.example.org/de/252.html", 0),
-    ("https://blog.enterre.example.org/en/116", 0),
-    ("https://m.hersch.example.org/de/42622", 0),
-    ("https://ververein.example.com/fr/12639", 0),
-    ("http://quelle.example.org/fr/36654.html", 0),
-    ("https://www.ciudad.example.com/es/15145#top", 0),
-    ("https://forum.cycling.example.org/en/routes/41", 0),
-    ("https://science.example.com/journal/vol-3/article.html", 0),
-    ("https://school.example.org/timetable?week=4", 0),
-    ("https://atlas.example.com/maps/rivers/", 0),
-    ("https://music-archive.example.org/scores/quartet", 0),
+#: Words of hosts to be blocked, words of other hosts, and the commonest pairs of letters in English, of which more
+#: names of ordinary hosts are put together.
+BAD_WORDS = tuple(
+    """pills pharmacy meds drugs viagra casino poker slots bets betting lotto jackpot roulette xxx adult porn sexy cams
+    dating escort loan cash payday forex crack warez keygen serial torrent spam seo backlinks farm ads banner click track
+    tracker popup adserver prize winner claim replica fake cheap discount deals offers free bonus miracle diet""".split()
+)
+GOOD_WORDS = tuple(
+    """news daily reading library history museum garden travel train weather recipes kitchen soup school university
+    science journal music archive cycling hiking river mountain atlas maps poetry theatre cinema painting sculpture
+    language grammar physics chemistry biology astronomy village council parish harbour bridge castle forest bakery
+    teacher student lecture mirovan kelduna brostel quenlo vandrel dorimex sulpira hegendor rinterlo thornwell shandre
+    atterlin eranole ondrath""".split()
+)
+LETTER_PAIRS = tuple(
+    """th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic
+    ne ea ra ce li ch be ma si om ur""".split()
 )
+_SUBDOMAINS = ("", "www.", "m.", "blog.", "")
+_TOP = ("com", "org", "info", "biz", "com")
+_PATHS = ("/en/{n}", "/fr/{n}?page=2&ref=x", "/de/{n}.html", "/es/{n}#top", "/en/{n}?utm_source=feed", "/{word}/{n}", "/{word}.html", "/")
+
+
+def labelled_rows() -> list[tuple[str, int]]:
+    """The built-in labelled URLs (1 is to be blocked): hosts of two words each, and ordinary names, with the same
+    subdomains, endings and paths for both labels."""
+
+    def url(number: int, host: str, word: str) -> str:
+        path = _PATHS[number % 8].format(n=number * 37 % 997, word=word)
+        return f"http{'s' if number % 3 else ''}://{_SUBDOMAINS[number % 5]}{host}.{_TOP[number // 2 % 5]}{path}"
+
+    rows = []
+    for label, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
+        for i, word in enumerate(words):
+            one, two, three, four = (words[(i * step + shift) % len(words)] for step, shift in ((7, 3), (11, 5), (5, 2), (3, 1)))
+            hosts = [f"{word}-{one}", f"{word}{two}", f"{three}-{word}24", f"my{word}{four}"]
+            rows += [(url(4 * i + k, host, one), label) for k, host in enumerate(hosts[: 4 if label else 2])]
+    for i in range(120):
+        host = "".join(LETTER_PAIRS[zlib.crc32(f"{i}:{k}".encode()) % len(LETTER_PAIRS)] for k in range(2 + i % 4))
+        rows.append((url(i, host, host), 0))
+    return rows
+
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,23 +79,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _grams(text: Column, tag: str) -> Column:
-    """Character n-grams of `text` between ^ and $, each with the tag in front."""
-    chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
-    count = F.size(chars)
-    parts = [
-        F.when(
-            count >= n,
-            F.transform(F.sequence(F.lit(1), count - n + 1), lambda i, n=n: F.concat(F.lit(tag), F.array_join(F.slice(chars, i, n), ""))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in GRAM_SIZES
-    ]
-    return F.concat(*parts)
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+
+
+def _grams(chars: str, tag: str) -> Column:
+    """Character n-grams of the column `chars`, an array of letters, each with the tag in front."""
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.concat(F.lit(tag), F.array_join(F.slice(chars, i, F.lit(n)), "")))
+        return F.when(F.size(chars) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, GRAM_SIZES))
 
 
 def _with_features(parsed: DataFrame) -> DataFrame:
-    grams = parsed.withColumn("_grams", F.concat(_grams(F.col("host"), "h"), _grams(F.col("path"), "p")))
-    return HashingTF(inputCol="_grams", outputCol="_features", numFeatures=BUCKETS, binary=True).transform(grams).drop("_grams")
+    # the letters are columns, so that they are split once and not for each n-gram
+    letters = parsed.withColumn("_host", _chars(F.col("host"))).withColumn("_path", _chars(F.col("path")))
+    grams = letters.withColumn("_grams", F.concat(_grams("_host", "h"), _grams("_path", "p")))
+    return HashingTF(inputCol="_grams", outputCol="_features", numFeatures=BUCKETS, binary=True).transform(grams).drop("_grams", "_host", "_path")
 
 
 def _parsed(urls: DataFrame) -> DataFrame:
@@ -120,7 +105,7 @@ def _parsed(urls: DataFrame) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "url string, label int")
+    return spark.createDataFrame(labelled_rows(), "url string, label int")
 
 
 def train_url_model(labelled: DataFrame) -> LogisticRegressionModel:
