@@ -1,8 +1,9 @@
-"""Licence scan by canonical digests: whole texts and their lines against known licences and notices.
+"""Licence scan by canonical digests: whole texts, their sections and their lines against a table of known digests.
 
-Canonical form: lower case, equivalent spellings made one, everything but letters and digits a space, and lines that
-only state a copyright left out. Line breaks don't matter for a whole text. The digest of a whole text is hash-joined
-to the known licences' digests; single lines are looked up among known one-line notices.
+Canonical form: lower case, equivalent spellings made one, everything but letters and digits a space, and lines left
+out that only state a copyright or name the licence. Line breaks don't matter inside a section, which blank lines end.
+The digest of a whole text is hash-joined to the known licences' digests; so are the digests of every run of as many
+sections as some known licence has, which finds licences inside longer texts, and those of single lines, for notices.
 """
 
 from __future__ import annotations
@@ -10,129 +11,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm.scratch import if_small
+from shellac.llm.license_texts import DIGESTS, LICENSES, NOTICES, TITLES
+from shellac.llm.scratch import if_small, written
 
-#: Spellings that count as equal, as regular expressions on lower-case text.
+#: Spellings that count as equal, as regular expressions on lower-case text; $1 is the first group.
 EQUIVALENT = (
     ("\\(c\\)|©|&copy;", " copyright "),
     ("licence", "license"),
     ("https?://", ""),
-    ("organisation", "organization"),
-    ("sub-license", "sublicense"),
-    ("non-commercial|non commercial", "noncommercial"),
+    ("is(e|ed|es|ing|ation|ations|ational)\\b", "iz$1"),
+    ("\\b(colo|favo|labo|hono|behavio)ur", "$1r"),
+    ("(judg|acknowledg)ement", "$1ment"),
+    ("(cata|ana)logue", "$1log"),
+    ("sub-licens", "sublicens"),
+    ("non[- ](commercial|infringement|exclusive)", "non$1"),
+    ("per cent\\b", "percent"),
+    ("whilst", "while"),
+    ("fulfil\\b", "fulfill"),
+    ("wilful", "willful"),
 )
+#: Lines that only state a copyright.
+_NOTICE_OF_RIGHTS = "^copyright copyright|^(?:copyright )+(?:\\d{4}|yyyy|year|name)|^all rights reserved$"
 
-_WARRANTY_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
-IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
-NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
-LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
-SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-_WARRANTY_ISC = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
-SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
-ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
-PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
-THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-
-#: Whole licence texts.
-LICENSES = (
-    (
-        "MIT",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
 
-"""
-        + _WARRANTY_MIT,
-    ),
-    (
-        "ISC",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+def _clean(text: Column) -> Column:
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, one in EQUIVALENT:
+        out = F.regexp_replace(out, pattern, one)
+    return F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")
 
-"""
-        + _WARRANTY_ISC,
-    ),
-    (
-        "0BSD",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-hereby granted.
 
-"""
-        + _WARRANTY_ISC,
-    ),
-    (
-        "Apache-2.0-header",
-        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-compliance with the License. You may obtain a copy of the License at
-
-    http://www.apache.org/licenses/LICENSE-2.0
-
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
-"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
-specific language governing permissions and limitations under the License.""",
-    ),
-)
-
-#: One-line notices.
-NOTICES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-)
+def _lines(text: Column) -> Column:
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
+    return F.filter(lines, lambda line: (line != "") & ~line.rlike(_NOTICE_OF_RIGHTS) & ~line.isin(*TITLES))
 
 
 def canonical_lines(text: Column) -> Column:
-    """Canonical lines of a text, without empty and copyright lines; a null text gives none."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, one in EQUIVALENT:
-        out = F.regexp_replace(out, pattern, one)
-    out = F.regexp_replace(out, "[^\\p{L}\\p{N}\n]+", " ")
-    lines = F.transform(F.split(out, "\n"), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: (line != "") & (line != "all rights reserved") & ~line.startswith("copyright "))
+    """Canonical lines of a text, without empty, copyright and title lines; a null text gives none."""
+    return _lines(_clean(text))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(license_id, digest) of the known licences and notices as whole texts."""
-    known = spark.createDataFrame([*LICENSES, *NOTICES], "license_id string, text string")
-    digest = F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256)
-    return known.select("license_id", digest.alias("digest")).distinct()
+def canonical_sections(text: Column) -> Column:
+    """Canonical sections of a text, each as one line; blank lines part them."""
+    joined = F.transform(F.split(_clean(text), "\n\\s*\n"), lambda section: F.array_join(_lines(section), " "))
+    return F.filter(joined, lambda section: section != "")
 
 
-def _notice_ids(lines: Column) -> Column:
-    """Sorted distinct licence ids of the lines that are known notices."""
-    found = []
-    for license_id in sorted({x for x, _ in NOTICES}):
-        own = F.array(*[F.array_join(canonical_lines(F.lit(text)), " ") for x, text in NOTICES if x == license_id])
-        found.append(F.when(F.arrays_overlap(lines, own), F.lit(license_id)))
-    return F.array_compact(F.array(*found))
+def _sha(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, digest (of the canonical whole text), license_id (if the whole text is a known
-    licence or notice, else null), notices (ids of known one-line notices among its lines, sorted, joined by commas;
-    empty without any).
+def _run_digest(digests: Column) -> Column:
+    """Digest of a run of sections, from theirs."""
+    return _sha(F.array_join(digests, ","))
+
+
+def _section_digests(text: Column) -> Column:
+    return F.transform(canonical_sections(text), lambda section: F.substring(_sha(section), 1, 16))
 
-    `known` (license_id, digest) defaults to the built-in tables; if a digest has several ids, the least counts.
-    Nulls and texts without letters and digits have the digest of the empty text and no licence. Repeated rows and
-    null ids stay; an empty table gives an empty result; other columns are not read.
+
+def describe(texts: DataFrame) -> DataFrame:
+    """(license_id, digest, sections, section_digest) of whole licences (license_id, text): rows of a known table."""
+    digest = _sha(F.array_join(canonical_lines(F.col("text")), " "))
+    parts = texts.select("license_id", digest.alias("digest"), _section_digests(F.col("text")).alias("parts"))
+    return parts.select("license_id", "digest", F.size("parts").alias("sections"), _run_digest(F.col("parts")).alias("section_digest"))
+
+
+def known_licenses(spark: SparkSession) -> DataFrame:
+    """The built-in table of whole licences and notices."""
+    texts = spark.createDataFrame([*LICENSES, *NOTICES], "license_id string, text string")
+    rows = describe(texts)
+    return rows.unionAll(spark.createDataFrame(list(DIGESTS), rows.schema)) if DIGESTS else rows
+
+
+def _runs(parts: Column, sections: list[int]) -> Column:
+    """Digests of all runs of as many sections as given."""
+    none = F.array().cast("array<string>")
+
+    def of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(parts) - k + 1), lambda i: _run_digest(F.slice(parts, i, F.lit(k))))
+        return F.when(F.size(parts) >= k, runs).otherwise(none)
+
+    return F.concat(none, *map(of, sections))
+
+
+def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: id, digest (of the canonical whole text), license_id (if the whole text is a known licence
+    or notice, else null), embedded (ids of licences that are some sections of it, sorted, joined by commas; empty
+    without any), notices (ids of known one-section licences and notices that are one of its lines, likewise).
+
+    `known` has license_id, digest, sections and section_digest (see describe) and defaults to the built-in table; if a
+    digest has several ids, the least counts as license_id. Nulls and texts without letters and digits have the digest
+    of the empty text and no licence. Repeated rows and null ids stay; an empty table gives an empty result; other
+    columns are not read. Only the numbers of sections that known licences have reach the driver, and each text gives
+    as many digests as it has lines and sections, times those numbers.
     """
-    known = known if known is not None else known_digests(docs.sparkSession)
-    empty = F.sha2(F.lit(""), 256)
-    known = known.filter(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    rows = docs.select(F.col(id_column).alias("id"), canonical_lines(F.col(text_column).cast("string")).alias("lines"))
-    rows = rows.select("id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), F.array_join(_notice_ids(F.col("lines")), ",").alias("notices"))
-    return rows.join(if_small(known), "digest", "left").select(F.col("id").alias(id_column), "digest", "license_id", "notices")
+    known = written(known if known is not None else known_licenses(docs.sparkSession))
+    empty = _sha(F.lit(""))
+    whole = known.filter(F.col("digest") != empty).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    counts = [r["sections"] for r in known.filter("sections > 0").select("sections").distinct().orderBy("sections").collect()]
+    line = known.filter("sections = 1").select(F.lit("line").alias("kind"), F.col("digest").alias("unit"), "license_id")
+    part = known.filter("sections > 0").select(F.lit("part").alias("kind"), F.col("section_digest").alias("unit"), "license_id")
+
+    # what occurs in a text, for each distinct text that has something
+    text = F.col(text_column).cast("string")
+    form = _sha(F.coalesce(text, F.lit(""))).alias("form")
+    lines = F.transform(canonical_lines(text), lambda x: F.struct(F.lit("line").alias("kind"), _sha(x).alias("unit")))
+    runs = F.transform(F.col("runs"), lambda x: F.struct(F.lit("part").alias("kind"), x.alias("unit")))
+    # sections first, as a column, so that they are made once and not for each run
+    units = docs.select(form, lines.alias("lines"), _section_digests(text).alias("parts")).select("form", "lines", _runs(F.col("parts"), counts).alias("runs"))
+    units = units.select("form", F.inline(F.array_distinct(F.concat("lines", runs))))
+    found = units.join(if_small(line.unionAll(part)), ["kind", "unit"]).groupBy("form")
+
+    def ids(kind: str) -> Column:
+        return F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("license_id")))), ",")
+
+    found = written(found.agg(ids("part").alias("embedded"), ids("line").alias("notices")))
+    rows = docs.select(F.col(id_column).alias("id"), _sha(F.array_join(canonical_lines(text), " ")).alias("digest"), form)
+    rows = rows.join(if_small(whole), "digest", "left").join(if_small(found), "form", "left")
+    return rows.select(F.col("id").alias(id_column), "digest", "license_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("embedded", "notices")])
 
 
 def _sql_literal(text: str) -> str:
@@ -142,29 +139,38 @@ def _sql_literal(text: str) -> str:
 def oracle_sql() -> str:
     """The same scan in DuckDB's SQL."""
 
-    def lines(text: str) -> str:
+    def clean(text: str) -> str:
         out = f"lower(coalesce({text}, ''))"
         for pattern, one in EQUIVALENT:
-            out = f"regexp_replace({out}, {_sql_literal(pattern)}, {_sql_literal(one)}, 'g')"
-        out = f"string_split(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g'), chr(10))"
-        out = f"list_transform({out}, lambda x: trim(x))"
-        return f"list_filter({out}, lambda x: x <> '' AND x <> 'all rights reserved' AND NOT starts_with(x, 'copyright '))"
+            out = f"regexp_replace({out}, {_sql_literal(pattern)}, {_sql_literal(one.replace('$', chr(92)))}, 'g')"
+        return f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\n]+', ' ', 'g')"
+
+    titles = ", ".join(map(_sql_literal, TITLES))
 
-    known = ", ".join(f"({_sql_literal(k)}, {_sql_literal(t)})" for k, t in [*LICENSES, *NOTICES])
-    notices = ", ".join(f"({_sql_literal(k)}, {_sql_literal(t)})" for k, t in NOTICES)
+    def lines(text: str) -> str:
+        out = f"list_transform(string_split({text}, chr(10)), lambda x: trim(x))"
+        return f"list_filter({out}, lambda x: x <> '' AND NOT regexp_matches(x, {_sql_literal(_NOTICE_OF_RIGHTS)}) AND x NOT IN ({titles}))"
+
+    sections = f"list_filter(list_transform(string_split_regex(clean, '\\n\\s*\\n'), lambda s: array_to_string({lines('s')}, ' ')), lambda s: s <> '')"
+    parts = f"list_transform({sections}, lambda s: left(sha256(s), 16))"
+    texts = ", ".join(f"({_sql_literal(k)}, {_sql_literal(t)})" for k, t in [*LICENSES, *NOTICES])
+    long = "".join(f" UNION ALL SELECT '{k}', '{d}', {n}, '{s}'" for k, d, n, s in DIGESTS)
     return f"""
-WITH known AS (
-  SELECT min(license_id) AS license_id, sha256(array_to_string({lines("t")}, ' ')) AS digest
-  FROM (VALUES {known}) v(license_id, t) GROUP BY 2
-), notice AS (
-  SELECT license_id AS notice_id, array_to_string({lines("t")}, ' ') AS line FROM (VALUES {notices}) v(license_id, t)
-), docs AS (SELECT doc_id, {lines("text")} AS lines FROM documents),
-own AS (
-  SELECT doc_id, string_agg(notice_id, ',' ORDER BY notice_id) AS notices
-  FROM (SELECT DISTINCT doc_id, notice_id FROM (SELECT doc_id, unnest(lines) AS line FROM docs) JOIN notice USING (line))
-  GROUP BY doc_id
-)
-SELECT d.doc_id, sha256(array_to_string(d.lines, ' ')) AS digest, k.license_id, coalesce(o.notices, '') AS notices
-FROM docs d LEFT JOIN own o ON o.doc_id = d.doc_id
-LEFT JOIN known k ON k.digest = sha256(array_to_string(d.lines, ' ')) AND len(d.lines) > 0
+WITH texts AS (SELECT license_id, {clean("t")} AS clean FROM (VALUES {texts}) v(license_id, t)),
+known AS (
+  SELECT license_id, sha256(array_to_string({lines("clean")}, ' ')) AS digest, len({parts}) AS sections,
+    sha256(array_to_string({parts}, ',')) AS section_digest FROM texts{long}
+), whole AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS row, doc_id, {lines("clean")} AS lines, {parts} AS parts FROM (SELECT doc_id, {clean("text")} AS clean FROM documents)),
+lined AS (
+  SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT row, sha256(unnest(lines)) AS digest FROM docs) JOIN known USING (digest) WHERE sections = 1 GROUP BY 1
+), runs AS (
+  SELECT row, sha256(array_to_string(list_slice(parts, at, at + k - 1), ',')) AS section_digest
+  FROM (SELECT row, parts, k, unnest(range(1, CAST(len(parts) - k + 2 AS BIGINT))) AS at FROM docs, (SELECT DISTINCT sections AS k FROM known) WHERE len(parts) >= k)
+), inside AS (
+  SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS embedded FROM runs JOIN known USING (section_digest) GROUP BY 1
+), rows AS (SELECT row, doc_id, len(lines) AS n, sha256(array_to_string(lines, ' ')) AS digest FROM docs)
+SELECT doc_id, digest, license_id, coalesce(embedded, '') AS embedded, coalesce(notices, '') AS notices
+FROM rows LEFT JOIN lined USING (row) LEFT JOIN inside USING (row) LEFT JOIN whole USING (digest)
 """
