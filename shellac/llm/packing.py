@@ -1,13 +1,15 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted. Pieces are taken by decreasing length; each goes to the open bin that it
-fills best, and where none has room, a bin is opened of the length whose cost per token that can still come is
-least. At the end each bin shrinks to the shortest permitted length that holds its contents.
+fills best, and where none has room, a bin is opened. Its length is chosen jointly with what is left: for each length
+that holds the piece, the pieces left fill such a bin as far as they can, largest first, and the length of least cost
+per token filled is opened. At the end each bin shrinks to the shortest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -33,17 +35,34 @@ def cost(length: int) -> float:
     return SEQUENCE_COST + length + length * length / ATTENTION_SCALE
 
 
+def _filled(room: int, kinds: list[int], counts: dict[int, int]) -> int:
+    """Tokens of the pieces left (kinds: their lengths in increasing order, counts of each) that fill `room`, largest first."""
+    free = room
+    at = bisect.bisect_right(kinds, free)
+    while at:
+        size = kinds[at - 1]
+        free -= size * min(counts[size], free // size)
+        at = bisect.bisect_right(kinds, min(free, size - 1))
+    return room - free
+
+
 def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
     """Bin and offset of each of `sizes` (given in decreasing order, none above the longest length), and the final
     length of each bin.
 
     Rooms of open bins are kept in lists by room, and the rooms in use in one sorted list of at most max(lengths)
-    numbers, so a best fit is one binary search. Of equal rooms the last one left is filled."""
-    left = sum(sizes)
+    numbers, so a best fit is one binary search. Of equal rooms the last one left is filled; of equal costs the shorter
+    length is opened."""
+    lengths = tuple(sorted(lengths))
+    counts = Counter(sizes)
+    kinds = sorted(counts)
     open_bins: dict[int, list[int]] = {}
     rooms: list[int] = []
-    bins, offsets, capacity, used = [], [], [], []
+    bins, offsets, used = [], [], []
     for size in sizes:
+        counts[size] -= 1
+        if not counts[size]:
+            kinds.pop()  # the sizes come in decreasing order
         at = bisect.bisect_left(rooms, size)
         if at < len(rooms):
             room = rooms[at]
@@ -51,22 +70,19 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], lis
             if not open_bins[room]:
                 del open_bins[room], rooms[at]
         else:
-            fitting = [c for c in lengths if c >= size]
-            length = min(fitting, key=lambda c: (cost(c) / min(c, left), c))
-            found, room = len(capacity), length
-            capacity.append(length)
+            fills = [(size + _filled(c - size, kinds, counts), c) for c in lengths if c >= size]
+            costs = [(cost(lengths[bisect.bisect_left(lengths, fill)]) / fill, c) for fill, c in fills]
+            found, room = len(used), min(costs)[1]
             used.append(0)
         bins.append(found)
         offsets.append(used[found])
         used[found] += size
-        left -= size
         if room > size:
             if room - size not in open_bins:
                 open_bins[room - size] = []
                 bisect.insort(rooms, room - size)
             open_bins[room - size].append(found)
-    final = [min(c for c in lengths if c >= u) for u in used]
-    return bins, offsets, final
+    return bins, offsets, [lengths[bisect.bisect_left(lengths, u)] for u in used]
 
 
 def _packer(lengths: tuple[int, ...]) -> Callable[[pd.DataFrame], pd.DataFrame]:
