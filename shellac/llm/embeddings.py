@@ -30,9 +30,10 @@ def table_plan(vectors: int, cosine: float) -> tuple[int, int]:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows."""
+    """Vectors of one length as rows, each scaled by a power of two so that squares neither overflow nor vanish."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0))[1][:, None])
 
 
 def _hasher(bits: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -63,7 +64,7 @@ def _linker(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             classes, nodes, labels, copies, tables, sizes = (
                 table[c].to_numpy() for c in ("class", "node", "label", "copies", "table", "dims")
             )
-            keys = _vectors(table["keys"].combine_chunks())
+            keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
             found = np.zeros(table.num_rows, dtype=np.int64)
             every: list[tuple[np.ndarray, np.ndarray]] = []
             for size in np.unique(sizes):
