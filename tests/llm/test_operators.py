@@ -60,7 +60,12 @@ def test_mixing(docs, empty):
     got = mixing.mix_sources(docs).collect()
     assert mixing.mix_sources(empty).count() == 0 and len(got) == docs.count()
     assert all(0 <= r.taken <= 3 * r["size"] and r.target <= 3 * r.source_size for r in got)
-    assert sum({r.source_size: r.target for r in got}.values()) == pytest.approx(sum(r["size"] for r in got))
+    rows = {(r.doc_id, r.text): r.source for r in docs.collect()}
+    sources = {}
+    for r, source in ((r, s) for r in got for (i, t), s in rows.items() if i == r.doc_id and len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) == r["size"]):
+        sources.setdefault(source, []).append(r)
+    assert sum(own[0].target for own in sources.values()) == pytest.approx(sum(r["size"] for r in got))
+    assert all(sum(r.taken for r in own) == int(own[0].target + 1e-6) for own in sources.values())
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
 
 
@@ -80,20 +85,37 @@ def test_packing(docs, empty):
         assert length == min(c for c in (8, 16, 32) if c >= end)
 
 
-def test_best_fit_is_brute_force():
-    rng = np.random.default_rng(3)
-    sizes = sorted(rng.integers(1, 33, 300).tolist(), reverse=True)
-    bins, _, final = packing.best_fit(sizes, (8, 16, 32))
-    rooms: list[int] = []
-    left = sum(sizes)
-    for size in sizes:
-        fits = [r for r in rooms if r >= size]
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_is_brute_force(seed):
+    """Bins, offsets and final lengths against plain lists."""
+    rng = np.random.default_rng(seed)
+    lengths = ((8, 16, 32), (10, 32), (32,), (4, 9, 32))[seed]
+    sizes = sorted(rng.integers(1, (33, 12, 33, 5)[seed], 200).tolist(), reverse=True)
+    used: list[int] = []
+    capacity: list[int] = []
+    bins, offsets, last = [], [], {}
+    for n, size in enumerate(sizes):
+        fits = [(capacity[i] - used[i], -last[i], i) for i in range(len(used)) if capacity[i] - used[i] >= size]
         if fits:
-            rooms[rooms.index(min(fits))] -= size
+            i = min(fits)[2]
         else:
-            rooms.append(min((c for c in (8, 16, 32) if c >= size), key=lambda c: (packing.cost(c) / min(c, left), c)) - size)
-        left -= size
-    assert len(rooms) == len(final) == max(bins) + 1
+            best = None
+            for c in lengths:
+                if c >= size:
+                    fill = size
+                    for other in sizes[n + 1 :]:
+                        if fill + other <= c:
+                            fill += other
+                    final = min(x for x in lengths if x >= fill)
+                    best = min(best or (9e9, 0), (packing.cost(final) / fill, c))
+            i = len(used)
+            used.append(0)
+            capacity.append(best[1])
+        bins.append(i)
+        offsets.append(used[i])
+        used[i] += size
+        last[i] = n
+    assert packing.best_fit(sizes, lengths) == (bins, offsets, [min(x for x in lengths if x >= u) for u in used])
 
 
 def test_sharding(docs, empty):
@@ -128,7 +150,7 @@ def test_urls(spark):
 
 
 def test_licenses(spark):
-    text = "Copyright (c) 2020 Someone\n\n" + licenses.LICENSES[1][1].upper().replace("\n", "  ")
+    text = "Copyright (c) 2020 Someone\n\n" + dict(licenses.LICENSES)["ISC"].upper().replace("\n", "  ")
     rows = [(1, text), (2, "prose\n  released under the MIT Licence!\nmore"), (3, None), (4, "")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].license_id == "ISC" and got[2].license_id is None and got[2].notices == "MIT"
