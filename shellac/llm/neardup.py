@@ -282,14 +282,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     def confirmed(pairs: DataFrame) -> DataFrame:
         return compared(pairs, "hashes", _sets_near(percent))
 
+    #: (node, component) as far as known, and all links found; without an entry a node is its own component
     parts: DataFrame | None = None
-
-    def joined(found: DataFrame) -> DataFrame:
-        """Components of the links so far and those just found."""
-        old = [] if parts is None else [parts.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-        for more in old:
-            found = found.unionAll(more)
-        return written(components(found))
+    links: list[DataFrame] = [] if id_links is None else [id_links]
+
+    def whole_parts() -> DataFrame | None:
+        """Components of all links so far."""
+        every = None
+        for found in links:
+            every = found if every is None else every.unionAll(found)
+        return None if every is None else written(components(every))
+
+    def relabelled(found: DataFrame) -> DataFrame:
+        """`parts` after one step: of the components that links join, the greater takes the name of the least it is
+        linked with. What has one name is connected; the rest of the way is left to whole_parts."""
+        joined = with_parts(with_parts(found, "a", "low"), "b", "high").filter("low != high")
+        renamed = joined.groupBy(F.greatest("low", "high").alias("component")).agg(F.min(F.least("low", "high")).alias("name"))
+        ends = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
+        known = ends.withColumn("component", F.col("node"))
+        if parts is not None:
+            known = parts.select("node", "component").unionAll(known.join(parts.select("node"), "node", "left_anti"))
+        return written(known.join(renamed, "component", "left").select("node", F.coalesce("name", "component").alias("component")))
 
     def with_parts(table: DataFrame, node: str, name: str) -> DataFrame:
         if parts is None:
@@ -308,21 +321,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         star = placed.join(mixed(placed, salt).hint("merge"), "key").filter("component != hub_component")
         pairs = written(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
         if pairs.isEmpty():  # the members of each key are in one component
+            parts = None
             break
         near = written(compared(pairs, "marks", _marks_near(bound, wide_bound)))
         if not near.isEmpty():
-            parts = joined(confirmed(near))
+            links.append(written(confirmed(near)))
+            parts = relabelled(links[-1])
     else:
+        parts = whole_parts()
         placed = with_parts(members, "node", "component")
         left_over = placed.join(mixed(placed, 0).select("key").hint("merge"), "key")
         columns = ["group", "block", "alone", "key", "node", "component", "marks"]
         blocks = groups.in_blocks(left_over, "key", "node", sets.select("node", "marks")).select(*columns)
         pairs = written(blocks.mapInArrow(_block_pairs(edges, bound, wide_bound), "a long, b long").distinct())
         if not pairs.isEmpty():
-            parts = joined(confirmed(pairs))
-
-    if id_links is not None:
-        parts = joined(id_links)
+            # components stand for their links from here on
+            links = [] if parts is None else [parts.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+            links.append(confirmed(pairs))
+            parts = None
+    if parts is None:
+        parts = whole_parts()
     merged = with_parts(classes.select(*of_set, "node", "copies"), "node", "component")
     merged = merged.filter("copies > 1 OR component != node").select(*of_set, "component")
     out = signed.select("id", *of_set).join(merged, of_set, "left")
