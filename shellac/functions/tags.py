@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of genres and their standard form.
-GENRES = {"electronica": "Electronic", "r&b": "R&B", "rnb": "R&B", "hip hop": "Hip-Hop", "hiphop": "Hip-Hop"}
+#: Spellings of genres and their standard form.
+GENRES = {"rock & roll": "Rock", "r&b": "R&B", "hip-hop": "Hip Hop", "electronica": "Electronic", "new age": "New Age"}
 
 
 def split_artists(raw: Column) -> Column:
@@ -25,12 +25,12 @@ def clean_title(title: Column) -> Column:
 
 
 def standard_genre(genre: Column) -> Column:
-    """Standard spelling, else words with capitals."""
-    key = F.lower(F.trim(genre))
+    """Standard spelling, else words with capitals and single spaces."""
+    key = F.lower(genre)
     known = F.lit(None).cast("string")
     for spelling, standard in GENRES.items():
         known = F.when(key == spelling, F.lit(standard)).otherwise(known)
-    return F.coalesce(known, F.initcap(F.trim(genre)))
+    return F.coalesce(known, F.initcap(F.trim(F.regexp_replace(genre, "\\s+", " "))))
 
 
 def sort_name(name: Column) -> Column:
@@ -54,9 +54,9 @@ def bitrate_band(bitrate: Column) -> Column:
 
 
 def identity_key(artist: Column, title: Column, album: Column, track: Column) -> Column:
-    """MD5 of the lower-cased tags: equal for copies of a recording."""
-    parts = [F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))) for c in (artist, title, album, track)]
-    return F.md5(F.concat_ws("|", *parts))
+    """MD5 of the lower-cased tags with single spaces, and the track number or 0: equal for copies of a recording."""
+    parts = [F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "(?U)\\s+", " ")) for c in (artist, title, album)]
+    return F.md5(F.concat_ws("|", *parts, F.coalesce(track, F.lit(0)).cast("string")))
 
 
 def completeness(columns: list[Column]) -> Column:

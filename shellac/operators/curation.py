@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellac.functions import tags
 
-#: Rank of a format out of ten.
-FORMAT_RANK = {"flac": 10, "wav": 9, "m4a": 7, "ogg": 6, "mp3": 5, "wma": 3}
+#: Rank of a format out of ten; others have 0.
+FORMAT_RANK = {"flac": 10, "wav": 9, "aiff": 8, "alac": 7, "m4a": 6, "mp3": 5, "aac": 4, "ogg": 3, "opus": 3, "wma": 2}
 
 
 def search(tracks: DataFrame, term: str, fields: tuple[str, ...] = ("title", "primary_artist", "album"), limit: int = 20) -> DataFrame:
@@ -39,26 +39,37 @@ def duplicates_by_size(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("tracks")).filter("tracks > 1")
 
 
-def quality_score(tracks: DataFrame) -> DataFrame:
-    """(recording_id, quality): weighted format, bitrate, sample rate and size, each out of ten."""
-    rank = F.lit(1)
+def quality() -> Column:
+    """Weighted format, bitrate, sample rate, completeness of six tags and size, each out of ten."""
+    rank = F.lit(0)
     for kind, value in FORMAT_RANK.items():
-        rank = F.when(F.col("file_type") == kind, F.lit(value)).otherwise(rank)
+        rank = F.when(F.lower("file_type") == kind, F.lit(value)).otherwise(rank)
     size = F.least(F.lit(1.0), F.col("size_bytes") / 104857600) * 10
-    rate = F.least(F.lit(1.0), F.col("sample_rate") / 192000) * 10
+    rate = F.least(F.lit(1.0), F.coalesce(F.col("sample_rate"), F.lit(0)) / 192000) * 10
     bits = F.least(F.lit(1.0), F.coalesce(F.col("bitrate"), F.lit(0)) / 3200) * 10
-    score = 0.4 * rank + 0.25 * bits + 0.15 * rate + 0.1 * size
-    return tracks.select("recording_id", F.round(score, 6).alias("quality"))
+    filled = sum((tags.given(F.col(c)).cast("int") for c in ("title", "artists_raw", "album", "year", "genre", "track_number")), F.lit(0))
+    return F.round(0.4 * rank + 0.25 * bits + 0.15 * rate + 0.1 * (filled / 6 * 10) + 0.1 * size, 6)
 
 
-def keep_best(tracks: DataFrame) -> DataFrame:
-    """(recording_id, key, action) of duplicates by tags: the best quality is kept, the least id among equals."""
+def quality_score(tracks: DataFrame) -> DataFrame:
+    return tracks.select("recording_id", quality().alias("quality"))
+
+
+def ranked_duplicates(tracks: DataFrame) -> DataFrame:
+    """(recording_id, key, size_bytes, place) of duplicates by tags, the best quality first, the least id among equals.
+    Tracks without artist and title have no key. Only keys of several tracks, which a partially aggregated count
+    finds, go through the window."""
     key = tags.identity_key(F.col("primary_artist"), F.col("title"), F.col("album"), F.col("track_number"))
-    scored = tracks.select("recording_id", key.alias("key")).join(quality_score(tracks), "recording_id")
-    by_key = Window.partitionBy("key")
-    place = F.row_number().over(by_key.orderBy(F.desc("quality"), "recording_id"))
-    ranked = scored.select("recording_id", "key", F.count(F.lit(1)).over(by_key).alias("n"), place.alias("place")).filter("n > 1")
-    return ranked.select("recording_id", "key", F.when(F.col("place") == 1, "keep").otherwise("delete").alias("action"))
+    tagged = tracks.filter(tags.given(F.col("primary_artist")) | tags.given(F.col("title")))
+    scored = tagged.select("recording_id", key.alias("key"), "size_bytes", quality().alias("quality"))
+    several = scored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("quality"), "recording_id"))
+    return scored.join(several, "key", "left_semi").select("recording_id", "key", "size_bytes", place.alias("place"))
+
+
+def keep_best(tracks: DataFrame) -> DataFrame:
+    """(recording_id, key, action): of duplicates by tags the best is kept."""
+    return ranked_duplicates(tracks).select("recording_id", "key", F.when(F.col("place") == 1, "keep").otherwise("delete").alias("action"))
 
 
 def track_order(tracks: DataFrame) -> DataFrame:

@@ -65,15 +65,22 @@ def target_file(track: Column, title: Column, suffix: Column) -> Column:
     return F.concat(number, clean_part(title), F.lit("."), suffix)
 
 
-def plan_moves(moves: DataFrame) -> DataFrame:
+def plan_moves(moves: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(recording_id, target, conflict, final) of rows with recording_id and target: the least id takes a target that
-    several want, the others get the next number in round brackets before the suffix."""
+    several want, unless a file is there (`existing` has target); the others get numbers in round brackets before the
+    suffix, beyond all that targets and files of that name have already, so no two final names are equal."""
     place = F.row_number().over(Window.partitionBy("target").orderBy("recording_id"))
-    number = F.concat(F.lit(" ("), (F.col("place") - 1).cast("string"), F.lit(")"))
     stem, suffix = F.regexp_extract("target", "^(.*?)(\\.[^./]*)?$", 1), F.regexp_extract("target", "(\\.[^./]*)$", 1)
-    ranked = moves.select("recording_id", "target", place.alias("place"))
-    final = F.when(F.col("place") > 1, F.concat(stem, number, suffix)).otherwise(F.col("target"))
-    return ranked.select("recording_id", "target", (F.col("place") > 1).alias("conflict"), final.alias("final"))
+    taken = moves.select("target") if existing is None else moves.select("target").unionAll(existing.select("target"))
+    numbered = F.regexp_extract(stem, "^(.*) \\((\\d{1,9})\\)$", 2).try_cast("int")
+    names = taken.select(F.concat(F.regexp_extract(stem, "^(.*) \\(\\d{1,9}\\)$", 1), suffix).alias("target"), numbered.alias("number"))
+    highest = names.filter("number IS NOT NULL").groupBy("target").agg(F.max("number").alias("highest"))
+    there = moves.select("target").limit(0) if existing is None else existing.select("target").distinct()
+    ranked = moves.select("recording_id", "target", place.alias("place")).join(highest, "target", "left")
+    ranked = ranked.join(there.withColumn("there", F.lit(1)), "target", "left").withColumn("behind", F.col("place") - 1 + F.coalesce("there", F.lit(0)))
+    number = F.concat(F.lit(" ("), (F.coalesce("highest", F.lit(0)) + F.col("behind")).cast("string"), F.lit(")"))
+    final = F.when(F.col("behind") > 0, F.concat(stem, number, suffix)).otherwise(F.col("target"))
+    return ranked.select("recording_id", "target", (F.col("behind") > 0).alias("conflict"), final.alias("final"))
 
 
 def directory_tree(files: DataFrame) -> DataFrame:
@@ -92,7 +99,14 @@ def folder_patterns(files: DataFrame, k: int = 10) -> DataFrame:
 
 
 def playlist_lines(tracks: DataFrame) -> DataFrame:
-    """(primary_artist, playlist): an extended playlist of each artist's tracks in order of path, then id."""
+    """(primary_artist, path, recording_id, line): the lines of each artist's extended playlist, in order of path, then
+    id; its head has an empty path and id. A row per line, so that an artist of very many tracks is no single value."""
     line = F.concat(F.lit("#EXTINF:"), F.col("duration_seconds").cast("long"), F.lit(","), F.col("primary_artist"), F.lit(" - "), F.col("title"), F.lit("\n"), F.col("path"))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "recording_id", line.alias("line")))), lambda s: s["line"])
-    return tracks.groupBy("primary_artist").agg(F.concat(F.lit("#EXTM3U\n"), F.array_join(lines, "\n")).alias("playlist"))
+    heads = tracks.select("primary_artist").distinct().select("primary_artist", F.lit("").alias("path"), F.lit("").alias("recording_id"), F.lit("#EXTM3U").alias("line"))
+    return heads.unionByName(tracks.select("primary_artist", "path", "recording_id", line.alias("line")))
+
+
+def write_playlists(lines: DataFrame, folder: str) -> None:
+    """A folder for each artist, its files in order of their names and lines; large playlists have several files."""
+    ranged = lines.repartitionByRange("primary_artist", "path", "recording_id").sortWithinPartitions("primary_artist", "path", "recording_id")
+    ranged.select("primary_artist", "line").write.partitionBy("primary_artist").text(folder)

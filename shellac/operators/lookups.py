@@ -24,7 +24,7 @@ def recently_added(tracks: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return tracks.filter((F.col("created_at") >= end - F.make_dt_interval(F.lit(days))) & (F.col("created_at") <= end))
 
 
-def needs_enrichment(tracks: DataFrame, fields: tuple[str, ...] = ("year", "genre", "bitrate")) -> DataFrame:
+def needs_enrichment(tracks: DataFrame, fields: tuple[str, ...] = ("year", "genre", "albumartist", "composer")) -> DataFrame:
     """(recording_id, missing) of tracks that lack some of the fields; their names joined by a bar."""
     missing = F.concat_ws("|", *[F.when(~tags.given(F.col(f)), F.lit(f)) for f in fields])
     return tracks.select("recording_id", missing.alias("missing")).filter("missing <> ''")

@@ -71,3 +71,13 @@ def operation_metrics(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("operations"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("file_size").alias("bytes")
     )
     return counts.withColumn("failed_rate", _share(F.col("failed"), F.col("operations")))
+
+
+def conflict_metrics(plan: DataFrame) -> DataFrame:
+    """One row for a plan with a column strategy, null without a conflict: conflicts, and how many were skipped, renamed
+    (or both kept) and replaced; percent resolved, 100 without conflicts."""
+    conflicts = F.count("strategy")
+    skipped, replaced = F.count_if(F.col("strategy") == "skip"), F.count_if(F.col("strategy") == "replace")
+    renamed = F.count_if(F.col("strategy").isin("rename", "keep_both"))
+    rate = F.when(conflicts == 0, 100.0).otherwise(F.round(100 * (skipped + renamed + replaced) / conflicts, 6))
+    return plan.agg(conflicts.alias("conflicts"), skipped.alias("skipped"), renamed.alias("renamed"), replaced.alias("replaced"), rate.alias("rate"))

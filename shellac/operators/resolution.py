@@ -45,14 +45,14 @@ def earlier_duplicates(tracks: DataFrame) -> DataFrame:
     return tracks.select("recording_id", (F.row_number().over(arrival) - 1).alias("earlier"), F.lag("recording_id").over(arrival).alias("previous"))
 
 
-def resolution_summary(tracks: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row for (recording_id, key, action): groups, kept and deleted tracks, bytes that deleting them saves."""
-    sized = actions.join(tracks.select("recording_id", "size_bytes"), "recording_id")
-    return sized.agg(
-        F.count_distinct("key").alias("groups"),
-        F.count_if(F.col("action") == "keep").alias("kept"),
-        F.count_if(F.col("action") == "delete").alias("deleted"),
-        F.coalesce(F.sum(F.when(F.col("action") == "delete", F.col("size_bytes"))), F.lit(0)).alias("saved"),
+def resolution_summary(ranked: DataFrame) -> DataFrame:
+    """One row for (key, size_bytes, place): groups, kept and deleted tracks, bytes that deleting them saves."""
+    gone = F.col("place") > 1
+    return ranked.agg(
+        F.count_if(~gone).alias("groups"),
+        F.count_if(~gone).alias("kept"),
+        F.count_if(gone).alias("deleted"),
+        F.coalesce(F.sum(F.when(gone, F.col("size_bytes"))), F.lit(0)).alias("saved"),
     )
 
 

@@ -64,6 +64,12 @@ def _moves(tracks: DataFrame) -> DataFrame:
     return layout.plan_moves(tracks.select("recording_id", target.alias("target")))
 
 
+def _against_existing(tracks: DataFrame) -> DataFrame:
+    target = F.concat("album", F.lit("/"), "title", F.lit("."), "file_type")
+    placed = tracks.select("recording_id", "track_number", target.alias("target"))
+    return layout.plan_moves(placed.filter("track_number <> 1"), placed.filter("track_number = 1"))
+
+
 def _rendered(tracks: DataFrame) -> DataFrame:
     names = ("genre", "primary_artist", "year", "album", "track_number", "title", "file_type")
     return tracks.select("recording_id", layout.render_template(TEMPLATE, {n: F.col(n) for n in names}).alias("target"))
@@ -139,9 +145,14 @@ PAIRS: dict[str, tuple[Query, str]] = {
         of_tracks(layout.folder_patterns),
         f"{_T} SELECT concat('/music/', coalesce(genre, 'Unknown')) AS folder, count(*) AS files FROM tracks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     ),
+    "d13_against_existing": (
+        of_tracks(_against_existing),
+        f"{_T}, p AS (SELECT *, row_number() OVER (PARTITION BY album, title, file_type ORDER BY recording_id) - 1 + CASE WHEN (album, title, file_type) IN (SELECT (album, title, file_type) FROM tracks WHERE track_number = 1) THEN 1 ELSE 0 END AS n FROM tracks WHERE track_number <> 1) "
+        "SELECT recording_id, concat(album, '/', title, '.', file_type) AS target, n > 0 AS conflict, concat(album, '/', title, CASE WHEN n > 0 THEN concat(' (', n, ')') ELSE '' END, '.', file_type) AS final FROM p",
+    ),
     "a8_playlists": (
         of_tracks(layout.playlist_lines),
-        f"{_T} SELECT primary_artist, concat('#EXTM3U', chr(10), string_agg(concat('#EXTINF:', CAST(duration_seconds AS BIGINT), ',', primary_artist, ' - ', title, chr(10), path), chr(10) ORDER BY path, recording_id)) AS playlist "
-        "FROM tracks GROUP BY 1",
+        f"{_T} SELECT primary_artist, path, recording_id, concat('#EXTINF:', CAST(duration_seconds AS BIGINT), ',', primary_artist, ' - ', title, chr(10), path) AS line FROM tracks "
+        "UNION ALL SELECT DISTINCT primary_artist, '', '', '#EXTM3U' FROM tracks",
     ),
 }

@@ -40,11 +40,11 @@ _L = (
     f"WITH op_log AS ({catalog.OP_LOG_SQL}), latest AS (SELECT * FROM op_log "
     "QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, record DESC) = 1) "
 )
-_KEY = "md5(concat_ws('|', lower(trim(primary_artist)), lower(trim(title)), lower(trim(album)), CAST(track_number AS VARCHAR)))"
-_RANK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in curation.FORMAT_RANK.items())
+_KEY = "md5(concat_ws('|', lower(trim(primary_artist)), lower(trim(title)), lower(trim(album)), CAST(coalesce(track_number, 0) AS VARCHAR)))"
+_RANK = "CASE file_type WHEN 'flac' THEN 10 WHEN 'wav' THEN 9 WHEN 'm4a' THEN 6 WHEN 'mp3' THEN 5 WHEN 'ogg' THEN 3 WHEN 'wma' THEN 2 ELSE 0 END"
 _QUALITY = (
-    f"round(0.4 * CASE file_type {_RANK} ELSE 1 END + 0.25 * (least(1.0, coalesce(bitrate, 0) / 3200) * 10) "
-    "+ 0.15 * (least(1.0, sample_rate / 192000) * 10) + 0.1 * (least(1.0, size_bytes / 104857600) * 10), 6)"
+    f"round(0.4::DOUBLE * {_RANK} + 0.25::DOUBLE * (least(1.0::DOUBLE, coalesce(bitrate, 0) / 3200) * 10) + 0.15::DOUBLE * (least(1.0::DOUBLE, sample_rate / 192000) * 10) "
+    "+ 0.1::DOUBLE * ((4 + (year IS NOT NULL)::INT + (genre IS NOT NULL)::INT) / 6 * 10) + 0.1::DOUBLE * (least(1.0::DOUBLE, size_bytes / 104857600) * 10), 6)"
 )
 _SHARE = "SELECT value, count(*) AS tracks, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (SELECT {} AS value FROM tracks) WHERE value IS NOT NULL GROUP BY value"
 

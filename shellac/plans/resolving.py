@@ -30,7 +30,7 @@ def _patterns() -> dict[str, Column]:
 
 
 def _enriched(tracks: DataFrame) -> DataFrame:
-    reference = tracks.filter("disc_number = 2").groupBy("primary_artist", "title").agg(F.max("genre").alias("genre"), F.max("year").alias("year"))
+    reference = tracks.groupBy("primary_artist", "title").agg(F.max("genre").alias("genre"), F.max("year").alias("year"))
     return lookups.enrich(tracks.select("recording_id", "primary_artist", "title", "genre", "year"), reference, ["primary_artist", "title"], ["genre", "year"])
 
 
@@ -51,6 +51,7 @@ def _shared_artists(tracks: DataFrame) -> DataFrame:
     return artists.filter("genre = 'Rock'").select("artist").intersect(artists.filter("genre = 'Jazz'").select("artist"))
 
 
+_STRATEGIES = ("skip", "rename", "keep_both", "replace", "append_suffix")
 _USUAL = "usual AS (SELECT primary_artist, genre AS predicted FROM tracks WHERE genre IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY primary_artist ORDER BY count(*) DESC, genre) = 1)"
 _ACTIONS = (
     f"actions AS (SELECT key, size_bytes, row_number() OVER (PARTITION BY key ORDER BY quality DESC, recording_id) AS place, count(*) OVER (PARTITION BY key) AS n "
@@ -90,8 +91,8 @@ PAIRS: dict[str, tuple[Query, str]] = {
         "CASE WHEN ord2 = 2 OR year > 2000 THEN 'year out of range' END, CASE WHEN ord2 = 3 THEN 'negative track' END) AS errors FROM tracks",
     ),
     "b18_complete": (
-        _columns(lambda: dict(complete=tags.given(F.col("title")) & tags.given(F.col("genre")) & tags.given(F.col("year")))),
-        _T + "SELECT recording_id, genre IS NOT NULL AND year IS NOT NULL AS complete FROM tracks",
+        _columns(lambda: dict(complete=tags.given(F.col("title")) & tags.given(F.col("primary_artist")) & tags.given(F.nullif(F.col("album"), F.lit("Greatest Hits"))))),
+        _T + "SELECT recording_id, title <> '' AND primary_artist <> '' AND album <> 'Greatest Hits' AS complete FROM tracks",
     ),
     "c3_by_genre": (of_tracks(lambda t: lookups.containing(t, "genre", "ROCK").select("recording_id", "genre")), _T + "SELECT recording_id, genre FROM tracks WHERE genre ILIKE '%rock%'"),
     "c5_by_title": (of_tracks(lambda t: lookups.containing(t, "title", "demo").select("recording_id", "title")), _T + "SELECT recording_id, title FROM tracks WHERE title ILIKE '%demo%'"),
@@ -101,8 +102,9 @@ PAIRS: dict[str, tuple[Query, str]] = {
     ),
     "c8_recently_added": (of_tracks(lambda t: lookups.recently_added(t, "1998-06-30 00:00:00").select("recording_id")), _T + "SELECT recording_id FROM tracks WHERE created_at BETWEEN TIMESTAMP '1998-06-30' - INTERVAL 30 DAYS AND TIMESTAMP '1998-06-30'"),
     "c11_needs_enrichment": (
-        of_tracks(lookups.needs_enrichment),
-        _T + "SELECT * FROM (SELECT recording_id, concat_ws('|', CASE WHEN year IS NULL THEN 'year' END, CASE WHEN genre IS NULL THEN 'genre' END, CASE WHEN bitrate IS NULL THEN 'bitrate' END) AS missing FROM tracks) WHERE missing <> ''",
+        of_tracks(lambda t: lookups.needs_enrichment(t.withColumns({"albumartist": F.when(F.col("disc_number") == 1, F.col("primary_artist")), "composer": F.when(F.col("artists_raw").contains(","), F.col("title"))}))),
+        _T + "SELECT * FROM (SELECT recording_id, concat_ws('|', CASE WHEN year IS NULL THEN 'year' END, CASE WHEN genre IS NULL THEN 'genre' END, CASE WHEN disc_number <> 1 THEN 'albumartist' END, "
+        "CASE WHEN NOT contains(artists_raw, ',') THEN 'composer' END) AS missing FROM tracks) WHERE missing <> ''",
     ),
     "c13_pattern_match": (
         _columns(_patterns),
@@ -112,7 +114,7 @@ PAIRS: dict[str, tuple[Query, str]] = {
     "d4_enrich": (
         of_tracks(_enriched),
         _T + "SELECT recording_id, primary_artist, title, coalesce(r.genre, t.genre) AS genre, coalesce(r.year, t.year) AS year FROM tracks t "
-        "LEFT JOIN (SELECT primary_artist, title, max(genre) AS genre, max(year) AS year FROM tracks WHERE disc_number = 2 GROUP BY 1, 2) r USING (primary_artist, title)",
+        "LEFT JOIN (SELECT primary_artist, title, max(genre) AS genre, max(year) AS year FROM tracks GROUP BY 1, 2) r USING (primary_artist, title)",
     ),
     "d6_infer_year": (
         of_tracks(lookups.infer_year_from_album),
@@ -149,7 +151,7 @@ PAIRS: dict[str, tuple[Query, str]] = {
         _T + f"SELECT recording_id, CAST(row_number() OVER w - 1 AS INT) AS earlier, lag(recording_id) OVER w AS previous FROM tracks WINDOW w AS (PARTITION BY {_HASH} ORDER BY ord1, ord2, recording_id)",
     ),
     "f15_resolution_summary": (
-        of_tracks(lambda t: resolution.resolution_summary(t, curation.keep_best(t))),
+        of_tracks(lambda t: resolution.resolution_summary(curation.ranked_duplicates(t))),
         _T + f", {_ACTIONS} SELECT count(DISTINCT key) AS groups, count(*) FILTER (place = 1) AS kept, count(*) FILTER (place > 1) AS deleted, CAST(coalesce(sum(size_bytes) FILTER (place > 1), 0) AS BIGINT) AS saved FROM actions WHERE n > 1",
     ),
     "f17_canonical_artists": (
@@ -182,6 +184,11 @@ PAIRS: dict[str, tuple[Query, str]] = {
         of_log(profile.operation_metrics),
         _L + "SELECT operation_type, count(*) AS operations, count(*) FILTER (status = 'failed') AS failed, CAST(sum(file_size) AS BIGINT) AS bytes, round(count(*) FILTER (status = 'failed') / count(*), 6) AS failed_rate FROM latest GROUP BY 1",
     ),
+    "g21_conflict_metrics": (
+        of_log(lambda log: profile.conflict_metrics(curation.latest_operations(log).select(F.when(F.col("status") == "failed", F.element_at(F.array(*map(F.lit, _STRATEGIES)), (F.col("id") % 5 + 1).cast("int"))).alias("strategy")))),
+        _L + "SELECT count(*) AS conflicts, count(*) FILTER (id % 5 = 0) AS skipped, count(*) FILTER (id % 5 IN (1, 2)) AS renamed, count(*) FILTER (id % 5 = 3) AS replaced, "
+        "round(100.0::DOUBLE * count(*) FILTER (id % 5 < 4) / count(*), 6) AS rate FROM latest WHERE status = 'failed'",
+    ),
     "g30_scan_report": (
         of_tracks(profile.scan_report),
         _T + "SELECT file_type, count(*) AS tracks, count(*) FILTER (genre IS NOT NULL OR year IS NOT NULL) AS tagged, CAST(sum(size_bytes) AS BIGINT) AS bytes, 100 * count(*) FILTER (genre IS NOT NULL OR year IS NOT NULL) // count(*) AS tagged_percent FROM tracks GROUP BY 1",

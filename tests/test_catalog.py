@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for name in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
