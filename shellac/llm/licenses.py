@@ -51,9 +51,9 @@ def canonical_lines(text: Column) -> Column:
     return _lines(_clean(text))
 
 
-def canonical_sections(text: Column) -> Column:
-    """Canonical sections of a text, each as one line; blank lines part them."""
-    joined = F.transform(F.split(_clean(text), "\n\\s*\n"), lambda section: F.array_join(_lines(section), " "))
+def _sections(clean: Column) -> Column:
+    """Sections of a cleaned text, each as one line; blank lines part them."""
+    joined = F.transform(F.split(clean, "\n\\s*\n"), lambda section: F.array_join(_lines(section), " "))
     return F.filter(joined, lambda section: section != "")
 
 
@@ -66,14 +66,14 @@ def _run_digest(digests: Column) -> Column:
     return _sha(F.array_join(digests, ","))
 
 
-def _section_digests(text: Column) -> Column:
-    return F.transform(canonical_sections(text), lambda section: F.substring(_sha(section), 1, 16))
+def _section_digests(clean: Column) -> Column:
+    return F.transform(_sections(clean), lambda section: F.substring(_sha(section), 1, 16))
 
 
 def describe(texts: DataFrame) -> DataFrame:
     """(license_id, digest, sections, section_digest) of whole licences (license_id, text): rows of a known table."""
     digest = _sha(F.array_join(canonical_lines(F.col("text")), " "))
-    parts = texts.select("license_id", digest.alias("digest"), _section_digests(F.col("text")).alias("parts"))
+    parts = texts.select("license_id", digest.alias("digest"), _section_digests(_clean(F.col("text"))).alias("parts"))
     return parts.select("license_id", "digest", F.size("parts").alias("sections"), _run_digest(F.col("parts")).alias("section_digest"))
 
 
@@ -116,10 +116,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_column: st
     # what occurs in a text, for each distinct text that has something
     text = F.col(text_column).cast("string")
     form = _sha(F.coalesce(text, F.lit(""))).alias("form")
-    lines = F.transform(canonical_lines(text), lambda x: F.struct(F.lit("line").alias("kind"), _sha(x).alias("unit")))
+    lines = F.transform(_lines(F.col("clean")), lambda x: F.struct(F.lit("line").alias("kind"), _sha(x).alias("unit")))
     runs = F.transform(F.col("runs"), lambda x: F.struct(F.lit("part").alias("kind"), x.alias("unit")))
-    # sections first, as a column, so that they are made once and not for each run
-    units = docs.select(form, lines.alias("lines"), _section_digests(text).alias("parts")).select("form", "lines", _runs(F.col("parts"), counts).alias("runs"))
+    # the cleaned text and the sections as columns, so that they are made once and not for each line and run
+    units = docs.select(form, _clean(text).alias("clean")).select("form", lines.alias("lines"), _section_digests(F.col("clean")).alias("parts"))
+    units = units.select("form", "lines", _runs(F.col("parts"), counts).alias("runs"))
     units = units.select("form", F.inline(F.array_distinct(F.concat("lines", runs))))
     found = units.join(if_small(line.unionAll(part)), ["kind", "unit"]).groupBy("form")
 
