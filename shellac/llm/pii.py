@@ -262,9 +262,14 @@ def _rendered(raw: Column, parts: Column) -> Column:
     return out.when(kind == "iban", _poured(raw, "[0-9A-Z]", first)).otherwise(_poured(raw, "[0-9]", first))
 
 
-def _pattern(text: Column) -> Column:
-    """ANY, and in a text that gives names with a title, these names and each of their words without one."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda n: F.regexp_replace(n, _WITH_TITLE, ""))
+def _names(text: Column, titled: Column) -> Column:
+    """Names that a text gives with a title, without it; texts that aren't titled are not searched."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda n: F.regexp_replace(n, _WITH_TITLE, ""))
+    return F.when(titled, found).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern(names: Column) -> Column:
+    """ANY, and these names and each of their words without a title."""
     forms = F.array_distinct(F.concat(names, F.flatten(F.transform(names, lambda n: F.split(n, " ")))))
     own = F.concat(F.lit(f"{ANY}|(?<![\\p{{L}}])(?:"), F.array_join(forms, "|"), F.lit(")(?![\\p{L}])"))
     return F.when(F.size(names) > 0, own).otherwise(F.lit(ANY))
@@ -283,11 +288,13 @@ def replace_personal_data(docs: DataFrame, key: str, id_column: str = "doc_id",
         raise ValueError("a secret key is needed")
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     # plain substrings first: most texts have neither a digit nor @ nor a title, and need no search by ANY
-    hint = F.col("text").rlike("[0-9@]") | F.col("text").contains("sk-")
+    titled = F.lit(False)
     for title in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES):
-        hint = hint | F.col("text").contains(title)
+        titled = titled | F.col("text").contains(title)
+    hint = F.col("text").rlike("[0-9@]") | F.col("text").contains("sk-") | titled
     hit = F.coalesce(hint & F.col("text").rlike(ANY), F.lit(False))
-    hits = rows.filter(hit).withColumn("digest", F.sha2("text", 256)).withColumn("pattern", _pattern(F.col("text")))
+    hits = rows.filter(hit).withColumn("digest", F.sha2("text", 256)).withColumn("names", _names(F.col("text"), titled))
+    hits = hits.withColumn("pattern", _pattern(F.col("names"))).drop("names")
     # copies share their row of occurrences; only short strings go through the shuffles up to the last
     found = hits.select("digest", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("raws"))
     found = found.select("digest", F.posexplode("raws").alias("at", "raw")).distinct()
