@@ -43,7 +43,9 @@ def _clean(text: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
-    return F.filter(lines, lambda line: (line != "") & ~line.rlike(_NOTICE_OF_RIGHTS) & ~line.isin(*TITLES))
+    # the plain test first: few lines begin like a notice
+    notice = lambda line: (line.startswith("copyright ") | (line == "all rights reserved")) & line.rlike(_NOTICE_OF_RIGHTS)
+    return F.filter(lines, lambda line: (line != "") & ~notice(line) & ~line.isin(*TITLES))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -162,16 +164,16 @@ known AS (
   SELECT license_id, sha256(array_to_string({lines("clean")}, ' ')) AS digest, len({parts}) AS sections,
     sha256(array_to_string({parts}, ',')) AS section_digest FROM texts{long}
 ), whole AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY 1),
-docs AS (SELECT row_number() OVER () AS row, doc_id, {lines("clean")} AS lines, {parts} AS parts FROM (SELECT doc_id, {clean("text")} AS clean FROM documents)),
+docs AS (SELECT row_number() OVER () AS num, doc_id, {lines("clean")} AS lines, {parts} AS parts FROM (SELECT doc_id, {clean("text")} AS clean FROM documents)),
 lined AS (
-  SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-  FROM (SELECT row, sha256(unnest(lines)) AS digest FROM docs) JOIN known USING (digest) WHERE sections = 1 GROUP BY 1
+  SELECT num, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT num, sha256(unnest(lines)) AS digest FROM docs) JOIN known USING (digest) WHERE sections = 1 GROUP BY 1
 ), runs AS (
-  SELECT row, sha256(array_to_string(list_slice(parts, at, at + k - 1), ',')) AS section_digest
-  FROM (SELECT row, parts, k, unnest(range(1, CAST(len(parts) - k + 2 AS BIGINT))) AS at FROM docs, (SELECT DISTINCT sections AS k FROM known) WHERE len(parts) >= k)
+  SELECT num, sha256(array_to_string(list_slice(parts, spot, spot + k - 1), ',')) AS section_digest
+  FROM (SELECT num, parts, k, unnest(range(1, CAST(len(parts) - k + 2 AS BIGINT))) AS spot FROM docs, (SELECT DISTINCT sections AS k FROM known) WHERE len(parts) >= k)
 ), inside AS (
-  SELECT row, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS embedded FROM runs JOIN known USING (section_digest) GROUP BY 1
-), rows AS (SELECT row, doc_id, len(lines) AS n, sha256(array_to_string(lines, ' ')) AS digest FROM docs)
+  SELECT num, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS embedded FROM runs JOIN known USING (section_digest) GROUP BY 1
+), listed AS (SELECT num, doc_id, len(lines) AS n, sha256(array_to_string(lines, ' ')) AS digest FROM docs)
 SELECT doc_id, digest, license_id, coalesce(embedded, '') AS embedded, coalesce(notices, '') AS notices
-FROM rows LEFT JOIN lined USING (row) LEFT JOIN inside USING (row) LEFT JOIN whole USING (digest)
+FROM listed LEFT JOIN lined USING (num) LEFT JOIN inside USING (num) LEFT JOIN whole USING (digest)
 """
