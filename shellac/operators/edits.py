@@ -31,8 +31,8 @@ class Edit:
 
 
 def substitution(pattern: str) -> tuple[str, str]:
-    """Regular expression and replacement in Spark's form."""
-    parts = pattern.split("/")
+    """Regular expression and replacement in Spark's form; a slash behind a backslash is part of them."""
+    parts = [part.replace("\\/", "/") for part in re.split(r"(?<!\\)/", pattern)]
     if len(parts) < 3 or parts[0] != "s":
         raise ValueError(f"not a substitution: {pattern!r}")
     flags = parts[3] if len(parts) > 3 else ""
