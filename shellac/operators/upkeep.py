@@ -141,3 +141,40 @@ def change_frequency(log: DataFrame) -> DataFrame:
     frequency = F.coalesce(F.sum(F.pow(F.lit(0.5), F.col("back")) / F.col("days")), F.lit(0.0))
     out = steps.groupBy("file_path").agg(F.round(frequency, 6).alias("frequency"))
     return out.withColumn("stability", F.round(F.greatest(F.lit(0.0), 1 - F.col("frequency") * 30), 6))
+
+
+def known_imports(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(recording_id, known) of the rows that come in: whether the catalog has the same tags, or an earlier row by id that
+    comes in has. Keys are counted before the join, so a large group sends one row."""
+    keyed = incoming.select("recording_id", resolution.tag_key().alias("key"))
+    first = keyed.groupBy("key").agg(F.min("recording_id").alias("first"))
+    there = catalog.select(resolution.tag_key().alias("key")).distinct().withColumn("there", F.lit(True))
+    state = first.join(there, "key", "left")
+    known = F.col("there").isNotNull() | (F.col("recording_id") != F.col("first"))
+    return keyed.join(state, "key").select("recording_id", known.alias("known"))
+
+
+def catalog_stats(tracks: DataFrame) -> DataFrame:
+    """One row: tracks, those with the tags of another, groups of such, tracks without a year or a genre, mean seconds.
+    Tracks are gathered by key first, and the totals come from the groups."""
+    untagged = F.count_if(F.col("year").isNull() | F.col("genre").isNull())
+    groups = tracks.groupBy(resolution.tag_key().alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), untagged.alias("untagged"), F.sum("duration_seconds").alias("seconds"), F.count("duration_seconds").alias("timed")
+    )
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("tracks"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicates"),
+        F.count_if(F.col("n") > 1).alias("groups"),
+        F.coalesce(F.sum("untagged"), F.lit(0)).alias("untagged"),
+        F.round(F.sum("seconds") / F.sum("timed"), 6).alias("avg_seconds"),
+    )
+
+
+def by_path(tracks: DataFrame, path: str) -> DataFrame:
+    """The tracks at a path; the filter reaches the scan where the path is stored."""
+    return tracks.filter(F.col("path") == path)
+
+
+def union_catalogs(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows of both, by name of column; columns that one lacks are null there."""
+    return existing.unionByName(new, allowMissingColumns=True)

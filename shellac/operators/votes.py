@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shellac.functions.tags import given
+from shellac.operators.rules import Rule, holds
 
 #: Fixed values: (feature, genre, confidence) of features above 0.7; weaker hints have no band and count nothing.
 FEATURE_HINTS = (("acousticness", "acoustic", 0.4), ("danceability", "dance", 0.4))
@@ -40,3 +41,14 @@ def corrected_genres(genres: Column, own: Column, own_tags: Column) -> Column:
     chosen = F.coalesce(F.when(given(own), F.array(own)), genres, F.array().cast("array<string>"))
     more = F.filter(F.coalesce(own_tags, F.array().cast("array<string>")), lambda tag: ~F.array_contains(chosen, tag))
     return F.concat(chosen, more)
+
+
+def best_kind(table: list[tuple[Rule, str, float]]) -> Column:
+    """Struct of `kind`, `confidence` and `rule` of the rule that holds with the greatest confidence, 1 at most, the
+    first among equals; null where none holds. Each row of the table is a rule, its content type and confidence."""
+    found = [
+        F.when(holds(rule), F.struct(F.least(F.lit(1.0), F.lit(sure)).alias("confidence"), F.lit(-at).alias("turn"), F.lit(kind).alias("kind"), F.lit(rule.name).alias("rule")))
+        for at, (rule, kind, sure) in enumerate(table)
+    ]
+    best = F.array_max(F.array_compact(F.array(*found)))
+    return F.when(best.isNotNull(), F.struct(best["kind"].alias("kind"), best["confidence"].alias("confidence"), best["rule"].alias("rule")))

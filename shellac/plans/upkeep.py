@@ -164,6 +164,11 @@ PAIRS: dict[str, tuple[Query, str]] = {
         _T + "SELECT recording_id, CASE WHEN path IN (SELECT path FROM tracks WHERE track_number <> 1) OR row_number() OVER (PARTITION BY path ORDER BY ord1, ord2, recording_id) > 1 "
         "THEN 'rejected' ELSE 'added' END AS status FROM tracks WHERE track_number = 1",
     ),
+    "d12_known_imports": (
+        of_tracks(lambda t: upkeep.known_imports(t.filter("track_number > 2"), t.filter("track_number <= 2"))),
+        _T + f", k AS (SELECT recording_id, track_number, {_KEY} AS key FROM tracks) SELECT recording_id, key IN (SELECT key FROM k WHERE track_number > 2) "
+        "OR row_number() OVER (PARTITION BY key ORDER BY recording_id) > 1 AS known FROM k WHERE track_number <= 2",
+    ),
     "d18_attach_cover": (
         _covers,
         _T + "SELECT recording_id, CASE WHEN length(d) % 3 = 0 THEN d || '/Cover.jpg' WHEN length(d) % 2 = 0 THEN d || '/scan.png' END AS cover "
@@ -180,6 +185,11 @@ PAIRS: dict[str, tuple[Query, str]] = {
         "SELECT genres, round(100 * least(3, genres) / genres, 6) AS concentration, a AS artists, round((SELECT count(*) FROM tracks) / a, 6) AS tracks_per_artist "
         "FROM g, (SELECT count(DISTINCT lower(artist)) AS a FROM artists)",
     ),
+    "g14_catalog_stats": (
+        of_tracks(upkeep.catalog_stats),
+        _T + f", g AS (SELECT {_KEY} AS key, count(*) AS n FROM tracks GROUP BY 1) SELECT count(*) AS tracks, (SELECT CAST(sum(n) AS BIGINT) FROM g WHERE n > 1) AS duplicates, "
+        "(SELECT count(*) FROM g WHERE n > 1) AS groups, count(*) FILTER (year IS NULL OR genre IS NULL) AS untagged, round(avg(duration_seconds), 6) AS avg_seconds FROM tracks",
+    ),
     "g16_build_artists": (
         of_tracks(upkeep.build_artists),
         _A + "SELECT artist, count(*) AS recordings, count(DISTINCT concat(primary_artist, '|', album)) AS releases, CAST(sum(duration_seconds) AS BIGINT) AS seconds, "
@@ -210,6 +220,10 @@ PAIRS: dict[str, tuple[Query, str]] = {
         "row_number() OVER (PARTITION BY file_path ORDER BY mtime DESC) AS back FROM c), f AS (SELECT file_path, round(coalesce(sum(pow(0.5, back) / days), 0), 6) AS frequency FROM s GROUP BY 1) "
         "SELECT file_path, frequency, round(greatest(0.0::DOUBLE, 1 - frequency * 30), 6) AS stability FROM f",
     ),
+    "j1_union_catalogs": (
+        of_tracks(lambda t: upkeep.union_catalogs(t.filter("track_number = 1").select("recording_id", "title"), t.filter("track_number = 2").select("title", "recording_id", "year"))),
+        _T + "SELECT recording_id, title, CASE WHEN track_number = 2 THEN year END AS year FROM tracks WHERE track_number IN (1, 2)",
+    ),
     "l5_special_folders": (
         of_tracks(_folders),
         _T + "SELECT recording_id, concat_ws('/', s, genre, primary_artist, CASE WHEN s IS NULL OR genre IS NULL THEN CAST(floor(year / 10) * 10 AS INT) || 's' END) AS folder FROM "

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.operators import votes
+from shellac.operators.rules import Condition, Rule
 from shellac.plans.classifying import features
-from shellac.plans.queries import Query
+from shellac.plans.queries import _T, Query, of_tracks
 
 
 def _voted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
@@ -34,6 +35,17 @@ def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(score, 6).alias("confidence"), F.array_join(votes.corrected_genres(genres, own, tags), "|").alias("genres"))
 
 
+KINDS = [
+    (Rule("concert", (Condition("title", "contains", "(live)"),)), "live", 0.9),
+    (Rule("old rock", (Condition("genre", "eq", "rock"), Condition("year", "lt", 1980))), "rarity", 0.6),
+    (Rule("best of", (Condition("album", "eq", "greatest hits"),)), "compilation", 0.9),
+]
+
+
+def _kinds(tracks: DataFrame) -> DataFrame:
+    return tracks.select("recording_id", votes.best_kind(KINDS).alias("found")).select("recording_id", "found.kind", "found.confidence", "found.rule")
+
+
 _VALUE = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.5 + 2 * embedding[{}]::DOUBLE))"
 _VOTES = (
     f"WITH f AS (SELECT vec_id, vec_id % 13 <> 0 AS has, {_VALUE.format(3)} AS dance, {_VALUE.format(4)} AS acoustic FROM embeddings), "
@@ -45,6 +57,12 @@ _VOTES = (
 
 #: name: (query, SQL)
 PAIRS: dict[str, tuple[Query, str]] = {
+    "k13_best_kind": (
+        of_tracks(_kinds),
+        _T + "SELECT recording_id, CASE r WHEN 1 THEN 'live' WHEN 2 THEN 'compilation' WHEN 3 THEN 'rarity' END AS kind, CASE WHEN r < 3 THEN 0.9 WHEN r = 3 THEN 0.6 END::DOUBLE AS confidence, "
+        "CASE r WHEN 1 THEN 'concert' WHEN 2 THEN 'best of' WHEN 3 THEN 'old rock' END AS rule FROM (SELECT recording_id, "
+        "CASE WHEN contains(title, '(Live)') THEN 1 WHEN album = 'Greatest Hits' THEN 2 WHEN genre = 'Rock' AND year < 1980 THEN 3 END AS r FROM tracks)",
+    ),
     "k14_genre_votes": (_genres, _VOTES + 'SELECT vec_id, "primary", secondary, sub, confidence FROM v'),
     "k15_confidence": (
         _confidence,
