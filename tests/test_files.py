@@ -71,3 +71,15 @@ def test_covers_and_patches(spark):
     for replace, first in ((False, ("Rock", [])), (True, (None, ["genre"]))):
         out = {r.recording_id: (r.genre, r.changed) for r in upkeep.patch_metadata(tracks, updates, ("genre",), replace).collect()}
         assert out == {"1": first, "2": ("Pop", ["genre"]), "3": ("Jazz", [])}
+
+
+def test_stored_catalog_and_look_up(spark, tmp_path):
+    schema = "recording_id string, path string"
+    tracks = spark.createDataFrame([("1", "/x/a.mp3"), ("2", "/y/b.mp3"), ("3", None)], schema)
+    tracks.write.parquet(str(tmp_path / "rows"))
+    (tmp_path / "rows.jsonl").write_text('{"recording_id": "1", "path": "/x/a.mp3"}\n{"recording_id": "4"}\n')
+    stored = files.read_catalog(spark, str(tmp_path / "rows"), schema)
+    assert [r.recording_id for r in upkeep.by_path(stored, "/y/b.mp3").collect()] == ["2"]
+    lines = files.read_catalog(spark, str(tmp_path / "rows.jsonl"), schema)
+    assert sorted((r.recording_id, r.path) for r in lines.collect()) == [("1", "/x/a.mp3"), ("4", None)]
+    assert upkeep.union_catalogs(stored, lines.select("recording_id")).count() == 5
