@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm import embeddings, exact, langid, licenses, mixing, neardup, packing, pii, sharding, urls
+from shellac.llm import embeddings, exact, htmltext, langid, licenses, mixing, neardup, packing, pii, sharding, spelling, urls, whitening
 from shellac.ship import ship
 
 #: Setting of the session with the secret key of op4; the test tables, whose entities are invented, go without.
@@ -59,6 +59,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most_repeats=3)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_near_dedup,
         op9_exact_dedup,
         op10_mixing,
+        op11_spelling_variants,
+        op12_html_extraction,
+        op13_whitening,
     )
 }
 
