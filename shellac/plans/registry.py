@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shellac.plans import classifying, measures, planning, queries, recommending, resolving, routing, streams, upkeep, voting
+from shellac.plans import classifying, grouping, measures, planning, queries, recommending, resolving, routing, streams, upkeep, voting
 
 #: name: (query, SQL)
-PAIRS: dict[str, tuple[queries.Query, str]] = queries.PAIRS | planning.PAIRS | measures.PAIRS | resolving.PAIRS | streams.PAIRS | classifying.PAIRS | upkeep.PAIRS | routing.PAIRS | voting.PAIRS | recommending.PAIRS
+PAIRS: dict[str, tuple[queries.Query, str]] = queries.PAIRS | planning.PAIRS | measures.PAIRS | resolving.PAIRS | streams.PAIRS | classifying.PAIRS | upkeep.PAIRS | routing.PAIRS | voting.PAIRS | recommending.PAIRS | grouping.PAIRS
 
 QUERIES: dict[str, queries.Query] = {name: query for name, (query, _) in PAIRS.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in PAIRS.items()}
