@@ -24,11 +24,13 @@ def duplicates_by_key(tracks: DataFrame, key: Column) -> DataFrame:
 
 
 def duplicate_likelihood(tracks: DataFrame, least: int = 10) -> DataFrame:
-    """One row: the share of artist and title signatures that several tracks have; 0 below `least` tracks."""
-    bare = [F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]", "") for c in ("primary_artist", "title")]
-    counts = tracks.groupBy(F.concat_ws("_", *bare).alias("signature")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.count_if(F.col("n") > 1) / F.count(F.lit(1))
-    return counts.agg(F.round(F.when(F.sum("n") >= least, share).otherwise(0.0), 6).alias("likelihood"))
+    """One row: the share of signatures of title and main artist that several tracks have; 0 below `least` tracks. Tracks
+    without title or artist have no signature and don't count as each other's duplicates."""
+    tagged = tags.given(F.col("title")) & tags.given(F.col("primary_artist"))
+    bare = [F.regexp_replace(F.lower(c), "[^a-z0-9]", "") for c in ("primary_artist", "title")]
+    counts = tracks.groupBy(F.when(tagged, F.concat_ws("_", *bare)).alias("signature")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.count_if(F.col("signature").isNotNull() & (F.col("n") > 1)) / F.nullif(F.count("signature"), F.lit(0))
+    return counts.agg(F.round(F.when(F.sum("n") >= least, F.coalesce(share, F.lit(0.0))).otherwise(0.0), 6).alias("likelihood"))
 
 
 def duplicate_summary(tracks: DataFrame) -> DataFrame:

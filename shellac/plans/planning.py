@@ -29,6 +29,15 @@ EDITS = [
     Edit("no wma", "file_type", "set", value="mp3", conditions=(Condition("file_type", "eq", "wma"),)),
 ]
 
+#: Edits with what a plan's conditions can say: null, equal, contains, regular expression.
+WHERE_EDITS = [
+    Edit("no genre", "genre", "copy", source="album", where=(("genre", None),)),
+    Edit("hits", "year", "set", value=1990, where=(("album", "Greatest Hits"), ("genre", {"contains": "rock"}))),
+    Edit("tracks", "track_number", "transform", pattern=r"s/^(\d)$/10$1/", where=(("track_number", {"regex": "^[1-3]$"}), ("year", {"equals": 1990}))),
+    edits.standardize_genre({"rock, pop": "Rock", "electronica": "Electronic"}),
+    *edits.capitalize_fields(["title"]),
+]
+
 TEMPLATE = "{genre}/{primary_artist}/{if:year}{year} - {else}undated - {endif}{album}/{track_number} {title}.{file_type}"
 
 
@@ -42,6 +51,11 @@ def _edited(tracks: DataFrame) -> DataFrame:
     return out.select("recording_id", "title", "genre", "year", "file_type", *[F.array_join(c, "|").alias(c) for c in ("artists", "applied")])
 
 
+def _where_edited(tracks: DataFrame) -> DataFrame:
+    out = edits.apply_edits(tracks.select("recording_id", "title", "genre", "album", "year", "track_number"), WHERE_EDITS)
+    return out.withColumn("applied", F.array_join("applied", "|"))
+
+
 def _undo(tracks: DataFrame) -> DataFrame:
     before = _tags(tracks)
     return edits.undo_log(before, edits.apply_edits(before, EDITS), "recording_id").select("recording_id", "title", "genre", "year", "file_type")
@@ -113,6 +127,14 @@ PAIRS: dict[str, tuple[Query, str]] = {
         "CASE WHEN year >= 1960 THEN year END AS year, CASE file_type WHEN 'wma' THEN 'mp3' ELSE file_type END AS file_type, "
         f"concat(replace(artists_raw, ', ', '|'), CASE WHEN album = 'Greatest Hits' THEN '|Various' ELSE '' END) AS artists, {_APPLIED} AS applied FROM tracks",
     ),
+    "m9_conditional_edits": (
+        of_tracks(_where_edited),
+        f"{_T}, a AS (SELECT *, coalesce(genre, album) AS g1, CASE WHEN album = 'Greatest Hits' AND contains(coalesce(genre, album), 'rock') THEN 1990 ELSE year END AS y1 FROM tracks), "
+        "b AS (SELECT *, CASE WHEN track_number <= 3 AND y1 = 1990 THEN 100 + track_number ELSE track_number END AS n1, CASE g1 WHEN 'rock, pop' THEN 'Rock' WHEN 'electronica' THEN 'Electronic' ELSE g1 END AS g2, "
+        "array_to_string(list_transform(string_split(title, ' '), lambda w: CASE WHEN w[1] = '(' THEN '(' || upper(w[2]) || w[3:] ELSE upper(w[1]) || w[2:] END), ' ') AS t1 FROM a) "
+        "SELECT recording_id, t1 AS title, g2 AS genre, album, y1 AS year, n1 AS track_number, concat_ws('|', CASE WHEN genre IS NULL THEN 'no genre' END, CASE WHEN y1 IS DISTINCT FROM year THEN 'hits' END, "
+        "CASE WHEN n1 <> track_number THEN 'tracks' END, CASE WHEN g2 <> g1 THEN 'standardize genre' END, CASE WHEN t1 <> title THEN 'capitalize title' END) AS applied FROM b",
+    ),
     "m10_undo_log": (of_tracks(_undo), f"{_T} SELECT recording_id, title, genre, year, file_type FROM tracks WHERE {_APPLIED} <> ''"),
     "g29_edit_result": (
         of_tracks(lambda t: edits.edit_result(edits.apply_edits(_tags(t), EDITS))),

@@ -139,7 +139,7 @@ PAIRS: dict[str, tuple[Query, str]] = {
     ),
     "f9_duplicate_likelihood": (
         of_tracks(resolution.duplicate_likelihood),
-        _T + "SELECT round(count(*) FILTER (n > 1) / count(*), 6) AS likelihood FROM (SELECT count(*) AS n FROM tracks GROUP BY regexp_replace(lower(primary_artist), '[^a-z0-9]', '', 'g') || '_' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g'))",
+        _T + "SELECT round(count(*) FILTER (n > 1) / count(*), 6) AS likelihood FROM (SELECT count(*) AS n FROM tracks WHERE title <> '' AND primary_artist <> '' GROUP BY regexp_replace(lower(primary_artist), '[^a-z0-9]', '', 'g') || '_' || regexp_replace(lower(title), '[^a-z0-9]', '', 'g'))",
     ),
     "f10_duplicate_summary": (
         of_tracks(resolution.duplicate_summary),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shellac.operators.edits import OPERATIONS, Edit
+
 #: Suffixes of the files that an inventory lists.
 AUDIO = ("flac", "mp3", "mp4", "m4a", "wav", "ogg", "opus", "wma", "aac", "aiff")
 
@@ -39,15 +43,32 @@ def read_training(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.filter((F.trim("text") != "") & (F.trim("genre") != ""))
 
 
-def read_edits(spark: SparkSession, path: str, operations: tuple[str, ...] = ("set", "add", "remove", "transform", "rename", "copy", "clear")) -> DataFrame:
-    """(name, field, operation, pattern, value, conflict_strategy) of an edit plan in JSON, a list of edits; the strategy
-    is replace unless given, and an unknown operation is an error when the row is read."""
-    plan = spark.read.json(path, schema="name string, field string, operation string, pattern string, value string, conflict_strategy string", multiLine=True)
+def read_edits(spark: SparkSession, path: str, operations: tuple[str, ...] = OPERATIONS) -> DataFrame:
+    """(name, field, operation, pattern, value, conflict_strategy, condition) of an edit plan in JSON: a list of edits, or an
+    object with such a list as `operations`. condition is a JSON object, null for none; the strategy is replace unless given,
+    and an unknown operation is an error when the row is read."""
+    edit = "name string, field string, operation string, pattern string, value string, conflict_strategy string, condition string"
+    cells = ", ".join(c.replace(" ", ": ") for c in edit.split(", "))
+    plan = spark.read.json(path, schema=f"{edit}, operations array<struct<{cells}>>", multiLine=True)
+    own = F.array(F.struct(*[c.split(" ")[0] for c in edit.split(", ")]))
+    plan = plan.select(F.inline(F.coalesce("operations", own)))
     known = F.when(F.col("operation").isin(*operations), F.col("operation"))
     checked = F.coalesce(known, F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("operation", F.lit("none")))).cast("string"))
     return plan.withColumn("operation", checked).withColumn("conflict_strategy", F.coalesce("conflict_strategy", F.lit("replace")))
 
 
+def load_edits(spark: SparkSession, path: str) -> list[Edit]:
+    """The edits of a plan (see read_edits), a small file, for edits.apply_edits, with their conditions. Copies read the column
+    that is their value; a rename's value is the old one, its pattern the new."""
+    found = []
+    for row in read_edits(spark, path).collect():
+        value = json.loads(row.value) if row.value and row.value.startswith(("[", "{")) else row.value
+        where = tuple((json.loads(row.condition) if row.condition else {}).items())
+        changes = {"copy": dict(source=row.value), "rename": dict(old=value, value=row.pattern)}.get(row.operation, dict(value=value, pattern=row.pattern or ""))
+        found.append(Edit(row.name or f"{row.operation} {row.field}", row.field, row.operation, strategy=row.conflict_strategy, where=where, **changes))
+    return found
+
+
 def long_form(stats: DataFrame) -> DataFrame:
     """(key, value) of each column of each row of statistics, as text; nulls stay null."""
     cells = [F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in stats.columns]
