@@ -62,9 +62,9 @@ TEXT_PAIRS_SQL = f"SELECT DISTINCT title AS a, concat(split_part(title, ' ', 2),
 _TABLES = ("lineitem", "part", "supplier", "nation", "orders", "customer", "events")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """`sql` over the tables in `sf_dir`; only the tables that it names are opened."""
-    frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES if name in sql}
+def view(spark: SparkSession, sf_dir: str, sql: str, **instead: DataFrame) -> DataFrame:
+    """`sql` over the tables in `sf_dir`, or those given instead, such as streams; only tables that it names are opened."""
+    frames = {name: instead[name] if name in instead else spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in _TABLES if name in sql}
     for name, frame in frames.items():
         sql = sql.replace(f" {name} ", f" {{{name}}} ").replace(f" {name}\n", f" {{{name}}}\n")
         if sql.endswith(f" {name}"):

@@ -2,68 +2,78 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shellac.tables import shared_folder
 
-def _folder(spark: SparkSession) -> str:
+
+def new_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset, as in tests on a local master, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Event files as a stream; new files below `path`, or `path` itself, come in later batches. Times without a zone
-    are those of the session's zone, since watermarks need instants."""
+def read_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """Parquet files as a stream; new files below `path`, or `path` itself, come in later batches."""
     # as a pattern, so that a single file is taken as well as a folder
     pattern = f"{path[:-1]}[{path[-1]}]"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """All that an append-mode stream gives for the files there now."""
-    folder = _folder(stream.sparkSession)
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """Event files as a stream (see read_files). Times without a zone are those of the session's zone, since watermarks
+    need instants."""
+    return read_files(spark, path, files_per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that an append-mode stream has given for the files there now. With the folder of an earlier call it goes on
+    from there, state included, and returns what both have given; else it starts in a new one."""
+    folder = folder or new_folder(stream.sparkSession)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def _last_version(stream: DataFrame, mode: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a table in a folder, rising; a version that was cut short has no mark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = [int(status.getPath().getName()) for status in system.listStatus(place)]
+    return sorted(v for v in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{v}/_SUCCESS")))
+
+
+def _last_version(stream: DataFrame, mode: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame], folder: str | None = None) -> DataFrame:
     """A table that each batch replaces by merge(batch, table before); a batch that is repeated after a failure
-    starts from the same version, so its effect is the same."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
-    versions: list[int] = []
+    starts from the same version, so its effect is the same. Versions stand in the folder, from which a later call goes on."""
+    spark, folder = stream.sparkSession, folder or new_folder(stream.sparkSession)
 
     def put(batch: DataFrame, number: int) -> None:
-        earlier = [v for v in versions if v < number]
-        before = batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/{earlier[-1]}") if earlier else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{folder}/{number}")
-        versions.append(number)
+        earlier = [v for v in versions(batch.sparkSession, f"{folder}/rows") if v < number]
+        before = batch.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows/{earlier[-1]}") if earlier else None
+        merge(batch, before).write.mode("overwrite").parquet(f"{folder}/rows/{number}")
 
     writer = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
-    if not versions:
+    there = versions(spark, f"{folder}/rows")
+    if not there:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/{versions[-1]}")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{there[-1]}")
 
 
 def events_of_type(events: DataFrame, kind: str) -> DataFrame:
     return drained(events.filter(F.col("event_type") == kind))
 
 
-def running_counts(events: DataFrame) -> DataFrame:
-    """(event_type, events, total) as of the last batch."""
+def running_counts(events: DataFrame, folder: str | None = None) -> DataFrame:
+    """(event_type, events, total) as of the last batch; goes on from an earlier call's folder."""
     counts = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 2).alias("total"))
-    return _last_version(counts, "complete", lambda batch, before: batch)
+    return _last_version(counts, "complete", lambda batch, before: batch, folder)
 
 
 def rates(events: DataFrame, window: str = "1 hour", slide: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -80,11 +90,12 @@ def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 hour") -> D
     return drained(counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "events", "purchases", "errors"))
 
 
-def last_events(events: DataFrame, n: int = 1000) -> DataFrame:
-    """The n latest events, by id among equals: each batch is cut to n before it is merged with the table."""
+def last_events(events: DataFrame, n: int = 1000, folder: str | None = None) -> DataFrame:
+    """The n latest events, by id among equals: each batch is cut to n before it is merged with the table. Goes on from an
+    earlier call's folder."""
 
     def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
         top = batch.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
         return (top if before is None else top.unionByName(before)).orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
-    return _last_version(events, "append", merge)
+    return _last_version(events, "append", merge, folder)
