@@ -123,3 +123,9 @@ def metadata_errors(title: Column, artist: Column, year: Column, track: Column,
         "negative track": track < 0,
     }
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in checks.items()]))
+
+
+def genre_mood(genre: Column, moods: dict[str, str]) -> Column:
+    """The mood that a genre stands for in the table, whatever its case; null for others."""
+    cells = [F.lit(x) for pair in moods.items() for x in pair]
+    return F.element_at(F.create_map(*cells), F.lower(F.trim(genre)))
