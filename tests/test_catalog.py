@@ -40,3 +40,11 @@ def test_against_duckdb(spark, duck, name):
     rows = [tuple(str(r[c]) for c in columns) for r in mine.collect()]
     order = [theirs.columns.index(c) for c in columns]
     assert sorted(rows) == sorted(tuple(str(r[i]) for i in order) for r in theirs.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(queries.WITHOUT_SQL))
+def test_without_sql(spark, name):
+    """What SQL can't express runs over whole tables; its rules are tested against brute force beside the operators."""
+    rows = queries.QUERIES[name](spark, SF).collect()
+    assert len(rows) == len({tuple(r)[:2] for r in rows})
+    assert len(rows) > (4000 if name == "k17_genre_predictions" else 300 if name == "k18_mood_predictions" else 0)
