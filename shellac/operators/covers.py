@@ -79,20 +79,26 @@ def _against(queries: list[tuple[int, float, np.ndarray]], method: str, least_ra
         held: dict[int, list[tuple[float, int, float]]] = {}
         for batch in batches:
             ids, seconds = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            shapes: dict[tuple[int, int], list[int]] = {}
+            shapes: dict[tuple[int, ...], list[int]] = {}
             frames = [np.array(v, dtype=np.float64) for v in batch.column(2).to_pylist()]
             for at, f in enumerate(frames):
                 shapes.setdefault(f.shape, []).append(at)
+            alike = {shape: (np.array(own), np.stack([frames[at] for at in own])) for shape, own in shapes.items() if len(shape) == 2}
             found = []
             for query, length, chroma in queries:
                 ratio = np.minimum(seconds, length) / np.maximum(seconds, length)
-                for own in shapes.values():
-                    near = [at for at in own if ratio[at] >= least_ratio and ids[at] != query]
-                    if not near or frames[near[0]].ndim != 2 or frames[near[0]].shape[1:] != chroma.shape[1:]:
+                fits = (ratio >= least_ratio) & (ids != query)
+                for shape, (own, tracks) in alike.items():
+                    near = fits[own]
+                    if shape[1:] != chroma.shape[1:] or not near.any():
                         continue
-                    tracks = np.stack([frames[at] for at in near])
-                    score = _likeness(np.broadcast_to(chroma, (len(near), *chroma.shape)), tracks, method)
-                    found += [(query, int(ids[at]), float(s), float(ratio[at])) for at, s in zip(near, score, strict=True) if s >= least]
+                    score = _likeness(np.broadcast_to(chroma, (int(near.sum()), *chroma.shape)), tracks[near], method)
+                    kept = score >= least
+                    if k is not None and kept.sum() > k:
+                        # ties at the k-th place stay until the ids decide
+                        kept &= score >= np.partition(score, len(score) - k)[len(score) - k]
+                    rows = zip(ids[own[near][kept]].tolist(), score[kept].tolist(), ratio[own[near][kept]].tolist(), strict=True)
+                    found += [(query, *r) for r in rows]
             if k is None:
                 yield _rows(found)
             else:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellac.functions import tags
+from shellac.tables import written
 
 #: Rank of a format out of ten; others have 0.
 FORMAT_RANK = {"flac": 10, "wav": 9, "aiff": 8, "alac": 7, "m4a": 6, "mp3": 5, "aac": 4, "ogg": 3, "opus": 3, "wma": 2}
@@ -55,21 +56,59 @@ def quality_score(tracks: DataFrame) -> DataFrame:
     return tracks.select("recording_id", quality().alias("quality"))
 
 
-def ranked_duplicates(tracks: DataFrame) -> DataFrame:
-    """(recording_id, key, size_bytes, place) of duplicates by tags, the best quality first, the least id among equals.
-    Tracks without artist and title have no key. Only keys of several tracks, which a partially aggregated count
-    finds, go through the window."""
+STRATEGIES = ("best", "first", "smart")
+
+
+def _kept(tracks: DataFrame, strategy: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, kept): duplicates by tags, written, so that the tracks are read once, and of each key of several the row that
+    stays. It comes from a partially aggregated group-by, so a large group is no single task's."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
     key = tags.identity_key(F.col("primary_artist"), F.col("title"), F.col("album"), F.col("track_number"))
     tagged = tracks.filter(tags.given(F.col("primary_artist")) | tags.given(F.col("title")))
-    scored = tagged.select("recording_id", key.alias("key"), "size_bytes", quality().alias("quality"))
-    several = scored.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("quality"), "recording_id"))
-    return scored.join(several, "key", "left_semi").select("recording_id", "key", "size_bytes", place.alias("place"))
+    row, order = F.col("recording_id"), ["recording_id"]
+    columns = {"key": key, "size_bytes": F.col("size_bytes"), "quality": quality()}
+    if strategy != "best":
+        order = ["ord1", "ord2", "recording_id"]
+        columns |= {"ord1": F.col("ord1"), "ord2": F.col("ord2")}
+    if strategy == "smart":
+        columns["content"] = F.md5(F.concat_ws("|", "title", "primary_artist", F.col("duration_seconds").cast("long").cast("string")))
+        columns["parts"] = F.size(F.split("path", "/"))
+        columns["filled"] = sum((tags.given(F.col(c)).cast("int") for c in ("title", "artists_raw", "album", "year", "genre")), F.lit(0))
+    rows = written(tagged.select("recording_id", *[c.alias(n) for n, c in columns.items()]))
+    best = F.min_by(row, F.struct(-F.col("quality"), *order))
+    if strategy == "first":
+        best = F.min_by(row, F.struct(*order))
+    if strategy == "smart":
+        exact = F.min("content").eqNullSafe(F.max("content"))
+        fullest = F.min_by(row, F.struct(-F.col("filled"), *order))
+        best = F.when(exact, F.min_by(row, F.struct("parts", *order))).when(F.max("filled") >= 4, fullest).otherwise(best)
+    kept = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best.alias("kept")).filter("n > 1").select("key", "kept")
+    return rows, kept
+
+
+def ranked_duplicates(tracks: DataFrame) -> DataFrame:
+    """(recording_id, key, size_bytes, place) of duplicates by tags: 1 for the best quality, of equals the least id, and 2 for
+    the others. Tracks without artist and title have no key."""
+    rows, kept = _kept(tracks, "best")
+    place = F.when(F.col("recording_id") == F.col("kept"), 1).otherwise(2)
+    return rows.join(kept, "key").select("recording_id", "key", "size_bytes", place.alias("place"))
 
 
 def keep_best(tracks: DataFrame) -> DataFrame:
     """(recording_id, key, action): of duplicates by tags the best is kept."""
-    return ranked_duplicates(tracks).select("recording_id", "key", F.when(F.col("place") == 1, "keep").otherwise("delete").alias("action"))
+    return resolve_duplicates(tracks, "best")
+
+
+def resolve_duplicates(tracks: DataFrame, strategy: str = "best", move: bool = False) -> DataFrame:
+    """(recording_id, key, action) of duplicates by tags: one of each is to `keep`, the others to `delete`, or to `move`.
+
+    Kept is the `best` quality (the least id among equals), the `first` in order of arrival, or by `smart`: of copies of one
+    file that with the fewest folders in its path, else that with most of five tags if it has four, else the best; the first
+    among equals."""
+    rows, kept = _kept(tracks, strategy)
+    action = F.when(F.col("recording_id") == F.col("kept"), "keep").otherwise("move" if move else "delete")
+    return rows.join(kept, "key").select("recording_id", "key", action.alias("action"))
 
 
 def track_order(tracks: DataFrame) -> DataFrame:

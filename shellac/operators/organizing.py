@@ -14,13 +14,29 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
+def identical_to_target(plan: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
+    """`plan` with `identical`: whether the file to be moved is the one that is at its target already: of the same size,
+    and of the same checksum if both have one, else changed within a second of it. `files` has recording_id, and
+    `existing` target, and both size, mtime and checksum."""
+    mine = files.select("recording_id", *[F.col(c).alias(f"own_{c}") for c in ("size", "mtime", "checksum")])
+    there = existing.select("target", *[F.col(c).alias(f"there_{c}") for c in ("size", "mtime", "checksum")])
+    seconds = F.abs(F.col("own_mtime").cast("timestamp").cast("double") - F.col("there_mtime").cast("timestamp").cast("double"))
+    summed = tags.given(F.col("own_checksum")) & tags.given(F.col("there_checksum"))
+    same = (F.col("own_size") == F.col("there_size")) & F.when(summed, F.col("own_checksum") == F.col("there_checksum")).otherwise(seconds < 1)
+    joined = plan.join(mine, "recording_id", "left").join(there, "target", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in plan.columns], F.coalesce(same, F.lit(False)).alias("identical"))
+
+
 def resolve_conflicts(plan: DataFrame, stamp: str) -> DataFrame:
     """`plan` (see layout.plan_moves, and a column strategy) with `action` and `final`: rows with a conflict are skipped
     (final is null), replace the file, take the plan's numbered name, go to a folder of duplicates (keep_both) or get
-    `stamp` behind their name (append_suffix, also for unknown and null strategies)."""
+    `stamp` behind their name (append_suffix, also for unknown and null strategies). Where the plan says that a file is
+    `identical` to what is there, it is left alone whatever the strategy."""
     where, name = directory(F.col("target")), F.regexp_extract("target", "([^/]*)$", 1)
     stem, suffix = F.regexp_extract("target", "^(.*?)(\\.[^./]*)?$", 1), F.regexp_extract("target", "(\\.[^./]*)$", 1)
     strategy = F.coalesce(F.when(F.col("strategy").isin("skip", "replace", "rename", "keep_both"), F.col("strategy")), F.lit("append_suffix"))
+    if "identical" in plan.columns:
+        strategy = F.when(F.col("identical"), "identical").otherwise(strategy)
     final = F.when(strategy == "replace", F.col("target")).when(strategy == "rename", F.col("final"))
     final = final.when(strategy == "keep_both", F.concat(where, F.lit("/duplicates/"), name))
     final = final.when(strategy == "append_suffix", F.concat(stem, F.lit(f"_{stamp}"), suffix))
