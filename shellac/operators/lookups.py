@@ -100,3 +100,36 @@ def classification_report(found: DataFrame) -> DataFrame:
     ratio = lambda part, whole: F.round(F.when(whole > 0, part / whole).otherwise(0.0), 6)
     hits, support, given = F.col("hits"), F.col("support"), F.col("given")
     return by_label.select("label", "support", ratio(hits, given).alias("precision"), ratio(hits, support).alias("recall"), ratio(2 * hits, support + given).alias("f1"))
+
+
+def fill_from_lookup(tracks: DataFrame, found: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """`tracks` with the fields that are missing filled from a lookup (artist, title, album, and the fields), and `filled`, the
+    names of those that were.
+
+    A track with artist and title takes the answer for its artist, title and album, whatever the case; without one, that for
+    its artist and title. Of several answers the first by album, then by the fields, counts, so there is one a key; answers
+    are reduced before the join. Values that are there, other fields, and tracks without artist or title stay."""
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    answer = F.struct(*[F.col(f) for f in fields])
+    rows = found.filter(tags.given(F.col("artist")) & tags.given(F.col("title"))).select(low("artist").alias("_a"), low("title").alias("_t"), low("album").alias("_b"), answer.alias("_answer"))
+    order = F.struct("_b", F.to_json("_answer"))
+    exact = rows.groupBy("_a", "_t", "_b").agg(F.min_by("_answer", order).alias("_exact"))
+    loose = rows.groupBy("_a", "_t").agg(F.min_by("_answer", order).alias("_loose"))
+    known = tags.given(F.col("primary_artist")) & tags.given(F.col("title"))
+    keyed = tracks.withColumns({"_a": F.when(known, low("primary_artist")), "_t": F.when(known, low("title")), "_b": low("album")})
+    joined = keyed.join(exact, ["_a", "_t", "_b"], "left").join(loose, ["_a", "_t"], "left").withColumn("_answer", F.coalesce("_exact", "_loose"))
+    missing = {f: ~tags.given(F.col(f)) & tags.given(F.col(f"_answer.{f}")) for f in fields}
+    filled = F.array_compact(F.array(*[F.when(missing[f], F.lit(f)) for f in fields]))
+    kept = [F.when(missing[c], F.col(f"_answer.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(f"`{c}`") for c in tracks.columns]
+    return joined.select(*kept, filled.alias("filled"))
+
+
+def estimate_from_sample(tracks: DataFrame, kind: Column, n: int = 100) -> DataFrame:
+    """(kind, sampled, files, megabytes): the kinds of the first n tracks by id, and what that makes of the whole: as many
+    files and megabytes as the sample has, times the tracks over the sample. A report on a sample, by its nature."""
+    whole = tracks.agg(F.count(F.lit(1)).alias("whole"))
+    sample = tracks.select("recording_id", kind.alias("kind"), "size_bytes").orderBy("recording_id").limit(n)
+    counts = sample.groupBy("kind").agg(F.count(F.lit(1)).alias("sampled"), F.sum("size_bytes").alias("bytes"))
+    share = F.col("whole") / F.least(F.lit(n), F.col("whole"))
+    scaled = counts.crossJoin(F.broadcast(whole))
+    return scaled.select("kind", "sampled", F.round(F.col("sampled") * share, 2).alias("files"), F.round(F.col("bytes") / (1 << 20) * share, 2).alias("megabytes"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.functions import recordings, tag_maps, tags
-from shellac.operators import documents, rollups
+from shellac.operators import documents, lookups, rollups
+from shellac.plans.planning import _kind
 from shellac.plans.queries import _L, _T, Query, of_tracks
 from shellac.sources import catalog, payloads
 
@@ -97,6 +98,13 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
+def _filled(tracks: DataFrame) -> DataFrame:
+    """Year and genre of tracks, from a lookup that has what the tracks of each artist, title and album say at most, and a
+    year for those of which none says any."""
+    found = tracks.groupBy(F.col("primary_artist").alias("artist"), "title", "album").agg(F.coalesce(F.min("year"), F.lit(1900)).alias("year"), F.max("genre").alias("genre"))
+    return lookups.fill_from_lookup(tracks.select("recording_id", "primary_artist", "title", "album", "year", "genre"), found, ("year", "genre")).withColumn("filled", F.array_join("filled", "|"))
+
+
 def _scored(tracks: DataFrame) -> DataFrame:
     """Scores of each track and the next of its order."""
     rows = tracks.select("ord1", "ord2", "recording_id", "title", tags.split_artists(F.col("artists_raw")).alias("artists"), "album", F.col("duration_seconds").alias("seconds"))
@@ -146,6 +154,17 @@ PAIRS: dict[str, tuple[Query, str]] = {
         "count(*) FILTER (action = 'delete') || ',\"saved\":' || coalesce(sum(size_bytes) FILTER (action = 'delete'), 0) || '}' AS content FROM d UNION ALL "
         "SELECT 'decision', '{\"leader\":\"' || leader || '\",\"recording_id\":\"' || recording_id || '\",\"action\":\"' || action || '\",\"size_bytes\":' || size_bytes || '}' FROM d",
     ),
+    "d5_fill_from_lookup": (
+        of_tracks(_filled),
+        _T + "SELECT recording_id, primary_artist, title, album, coalesce(year, y) AS year, coalesce(genre, g) AS genre, concat_ws('|', CASE WHEN year IS NULL THEN 'year' END, "
+        "CASE WHEN genre IS NULL AND g IS NOT NULL THEN 'genre' END) AS filled FROM (SELECT *, coalesce(min(year) OVER w, 1900) AS y, max(genre) OVER w AS g FROM tracks WINDOW w AS (PARTITION BY primary_artist, title, album))",
+    ),
+    "g32_estimate": (
+        of_tracks(lambda t: lookups.estimate_from_sample(t, _kind(), 100)),
+        _T + "SELECT kind, count(*) AS sampled, round(count(*) * (SELECT count(*) FROM tracks) / 100, 2) AS files, round(sum(size_bytes) / 1048576 * ((SELECT count(*) FROM tracks) / 100), 2) AS megabytes FROM "
+        "(SELECT size_bytes, CASE WHEN contains(title, '(Live)') THEN 'live' WHEN album = 'Greatest Hits' THEN 'compilation' WHEN title LIKE '% Demo' THEN 'rarity' WHEN contains(artists_raw, ',') THEN 'collaboration' ELSE 'studio' END AS kind "
+        "FROM tracks ORDER BY recording_id LIMIT 100) GROUP BY 1",
+    ),
     "d15_genre_moods": (
         of_tracks(lambda t: t.select("recording_id", tags.genre_mood(F.col("genre"), MOODS).alias("mood")).filter("mood IS NOT NULL")),
         _T + "SELECT recording_id, CASE lower(genre) WHEN 'rock' THEN 'energetic' WHEN 'jazz' THEN 'relaxed' END AS mood FROM tracks WHERE lower(genre) IN ('rock', 'jazz')",

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from shellac.functions import recordings, tag_maps
-from shellac.operators import documents, rollups
+from shellac.operators import documents, lookups, rollups
 from shellac.sources import payloads
 
 FIELDS = ("artists", "primary_artist", "album", "title", "genre", "year", "date", "track_number", "location", "has_cover")
@@ -95,3 +95,14 @@ def test_pair_scores(spark):
     assert (round(got.title, 6), got.artist, got.album, got.duration, got.acoustic, got.is_similar) == (0.666667, 0.5, 0.0, 0.5, 1.0, False)
     same = frame.select(*[c.alias(n) for n, c in recordings.pair_scores(sides[0], sides[0]).items()]).first()
     assert round(same.overall, 6) == 1 and same.is_similar
+
+
+def test_fill_from_lookup(spark):
+    tracks = [(1, "A", "T", "X", None, " ", 5), (2, "a ", "t", "Y", None, "Pop", 5), (3, "A", "T", None, 1999, None, 5), (4, None, "T", "X", None, None, 5), (5, "B", "T", "X", None, None, 5), (1, "A", "T", "X", None, " ", 5)]
+    found = [("A", "T", "x", 2001, "Rock"), ("A", "T", "X", 2000, None), ("a", "T", "A first", 1990, "Jazz"), (None, "T", "X", 1, "No"), ("A", None, "X", 1, "No"), ("C", "T", "X", 1, "No")]
+    frame = spark.createDataFrame(tracks, "id int, primary_artist string, title string, album string, year int, genre string, answer int")
+    ref = spark.createDataFrame(found, "artist string, title string, album string, year int, genre string")
+    got = sorted((r.id, r.year, r.genre, tuple(r.filled), r.answer) for r in lookups.fill_from_lookup(frame, ref, ("year", "genre")).collect())
+    first = (1, 2000, " ", ("year",), 5)
+    assert got == [first, first, (2, 1990, "Pop", ("year",), 5), (3, 1999, "Jazz", ("genre",), 5), (4, None, None, (), 5), (5, None, None, (), 5)]
+    assert lookups.fill_from_lookup(frame.limit(0), ref, ("year",)).count() == 0
