@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shellac.ship import ship
 from shellac.tables import written
 
 #: Similarity from which on a cover is of high or medium confidence.
@@ -134,6 +135,7 @@ def similar_tracks(
         return rows.filter((F.col("seconds") > 0) & F.col("id").isNotNull() & (F.size("frames") > 0) & full)
 
     spark, rows = tracks.sparkSession, sound(tracks)
+    ship(spark)
     wanted = written(sound(queries).withColumn("block", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(queries.count() // BLOCK)))))
     out = spark.createDataFrame([], "query long, track long, score double, ratio double")
     for block in sorted(r.block for r in wanted.select("block").distinct().collect()):
