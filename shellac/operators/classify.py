@@ -243,3 +243,71 @@ def energy_level(energy: Column) -> Column:
 def energy_of_genre(genre: Column) -> Column:
     g = _low(genre)
     return F.when(g.rlike("rock|metal|electronic|dance"), 0.8).when(g.rlike("ambient|classical|folk"), 0.3).otherwise(0.5)
+
+
+# Patterns for several types at once, and types by what a tag contains, the first that it does.
+ALL_REMIX = ("\\bremix\\b", "\\bmix\\b", "\\bedit\\b", "\\bversion\\b", "\\bbootleg\\b", "\\bmashup\\b", "\\bflip\\b", "\\brefix\\b", "\\brework\\b", "\\b\\d+\\s*remix\\b")
+ALL_PODCAST = ("\\bpodcast\\b", "\\bepisode\\b", "\\bep\\.?\\s*\\d+\\b", "\\bpt\\.?\\s*\\d+\\b", "\\bfeat\\.?\\b", "\\binterview\\b", "\\bseason\\s+\\d+\\b")
+ALL_SPOKEN = tuple(
+    f"\\b{p}\\b" for p in ("spoken\\s*word", "audiobook", "book\\s*\\d+", "chapter\\s*\\d+", "narrated?", "speech", "lecture", "standup?", "comedy")
+)
+ALL_SCREEN = tuple(
+    f"\\b{p}\\b"
+    for p in ("soundtrack", "ost", "score", "original\\s*motion\\s*picture", "from\\s+the\\s+movie", "from\\s+the\\s+film", "games?\\s+soundtrack", "anime\\s+soundtrack", "tv\\s+soundtrack")
+)
+COMPOSERS = ("\\bcomposed\\s+by\\b", "\\bscore\\s+by\\b", "\\borchestrated?\\b")
+TAG_KINDS = {
+    "remix": "remix",
+    "podcast": "podcast",
+    "spoken_word": "spoken_word",
+    "spoken-word": "spoken_word",
+    "spoken word": "spoken_word",
+    "audiobook": "audiobook",
+    "soundtrack": "soundtrack",
+    "ost": "soundtrack",
+    "score": "soundtrack",
+    "dj_mix": "dj_mix",
+    "dj-mix": "dj_mix",
+    "dj mix": "dj_mix",
+    "live": "live_recording",
+    "compilation": "compilation",
+    "studio": "studio_album",
+    "ep": "ep",
+    "single": "single",
+    "demo": "demo",
+    "cover": "cover",
+}
+TAG_SURE, RULES_SURE, UNSURE = 0.9, 0.8, 0.5
+
+
+def all_types(title: Column, album: Column, artist: Column, genre: Column, seconds: Column, tagged: Column | None = None) -> Column:
+    """Array of (kind, score), best first, of every type that a track shows: what `tagged` contains, and remix, podcast,
+    spoken_word and soundtrack by their points, each less sure than a tag; one row "unknown" if there is none. Of equal
+    scores the tag's comes first, then the order above. Null texts count as empty."""
+    t, a, who, g = map(_low, (title, album, artist, genre))
+    hint, hint_text = F.lit(None).cast("string"), _low(tagged if tagged is not None else F.lit(None))
+    for part, kind in reversed(TAG_KINDS.items()):
+        hint = F.when(hint_text.contains(part), kind).otherwise(hint)
+    points = {
+        "remix": [(t.rlike(p), 0.3) for p in ALL_REMIX] + [(a.rlike(p), 0.2) for p in ALL_REMIX] + [(who.rlike("\\bdj\\s+\\w"), 0.4), (_any(g.contains(x) for x in ("electronic", "edm", "dance")), 0.1)],
+        "podcast": [(t.rlike(p), 0.25) for p in ALL_PODCAST] + [(a.contains("podcast"), 0.3), (g.contains("podcast"), 0.4), (seconds > 900, 0.2)],
+        "spoken_word": [(x.rlike(p), 0.3) for x in (t, a) for p in ALL_SPOKEN] + [(_any(g.contains(x) for x in SPOKEN_GENRES), 0.4), (who.contains("author") | who.contains("narrator"), 0.2)],
+        "soundtrack": [(a.rlike(p), 0.35) for p in ALL_SCREEN]
+        + [(t.rlike(p), 0.2) for p in ALL_SCREEN]
+        + [(_any(g.contains(x) for x in ("soundtrack", "score", "ost")), 0.3)]
+        + [(who.rlike(p), 0.2) for p in COMPOSERS]
+        + [(who.contains("composer") | who.contains("conductor"), 0.15)],
+    }
+
+    def row(place: int, kind: Column, score: Column) -> Column:
+        return F.struct((-score).alias("minus"), F.lit(place).alias("place"), kind.alias("kind"))
+
+    def by_points(place: int, kind: str) -> Column:
+        mine = ~F.coalesce(hint == kind, F.lit(False))
+        score = F.array(_capped(_points(points[kind])) * RULES_SURE)
+        return F.transform(score, lambda s: F.when((s > 0) & mine, row(place, F.lit(kind), s)))[0]
+
+    rows = [F.when(hint.isNotNull(), row(0, hint, F.lit(TAG_SURE))), *[by_points(i, kind) for i, kind in enumerate(points, 1)]]
+    found = F.transform(F.array_sort(F.array_compact(F.array(*rows))), lambda r: F.struct(r["kind"].alias("kind"), (-r["minus"]).alias("score")))
+    unknown = F.array(F.struct(F.lit("unknown").alias("kind"), F.lit(UNSURE).alias("score")))
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(unknown))[0]
