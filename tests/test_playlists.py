@@ -52,8 +52,8 @@ def test_playlist_against_all_pairs(spark, seed):
 
 def test_playlist_edges(spark):
     none = spark.createDataFrame([], COLUMNS.format("entry"))
-    one = spark.createDataFrame([("e", "a" * 5000, ["x"], 10.0)], COLUMNS.format("entry"))
-    track = spark.createDataFrame([("t", "a" * 4999 + "b", ["x"], 10.0)] * 2, COLUMNS.format("recording_id"))
+    one = spark.createDataFrame([("e", "a" * 200, ["x"], 10.0)], COLUMNS.format("entry"))
+    track = spark.createDataFrame([("t", "a" * 199 + "b", ["x"], 10.0)] * 2, COLUMNS.format("recording_id"))
     assert playlists.match_playlist(none, track).count() == 0
     assert playlists.match_playlist(one, track.limit(0)).count() == 0
     assert [tuple(r)[:2] for r in playlists.match_playlist(one, track).collect()] == [("e", "t")]
