@@ -51,19 +51,20 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder; only a row count, a checksum and the largest degree come to the driver.
     """
     edges = written(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen, number, hub = None, 0, None
+    seen, hub = None, None
     while True:
         # not by an Observation: once a session has one, Spark's ML models can't be sent to executors any more
         state = edges.agg(F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("a", "b")).alias("sum")).first()
         if state == seen or state["edges"] == 0:
             break
-        if number < 3 and hub is None:  # by then stars have grown
+        # stars grow from round to round, so degrees are measured until there is a hub; few edges can't have one
+        if hub is None and state["edges"] > HUB_EDGES:
             least = max(HUB_EDGES, 2 * state["edges"] // HUBS)
             hub = least if _largest_degree(edges) > least else None
         # with hubs a step reads its edges several times, so each step is written
         large = _step(edges, True, hub)
         edges = written(_step(large if hub is None else written(large), False, hub))
-        seen, number = state, number + 1
+        seen = state
     # at the fixed point every edge leads from a node to its component's least node
     leaves = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
