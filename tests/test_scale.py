@@ -1,9 +1,29 @@
 """What keeps queries in bounds on large tables: plans and tables that are small here and large elsewhere."""
 
 from shellac.operators import fuzzy
+from shellac.sources import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_similar_pairs_broadcast_no_table_of_forms(spark):
     table = spark.createDataFrame([("abcdefghij",), ("abcdefghix",)], "name string")
     plan = fuzzy.similar_pairs(table, "name", 0.9)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_tracks_by_another_order_of_joins_are_the_same(spark):
+    plain, found = catalog.view(spark, SF, catalog.TRACKS_SQL), catalog.tracks(spark, SF)
+    assert found.schema == plain.schema
+    assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+
+
+def test_tracks_shuffle_lines_for_orders_and_parts_only(spark):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.tracks(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    merges = [line.split("[")[1].split("#")[0] for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert merges == ["l_partkey", "l_orderkey", "o_custkey", "s_nationkey"]
