@@ -1,6 +1,8 @@
 """What keeps queries in bounds on large tables: plans and tables that are small here and large elsewhere."""
 
-from shellac.operators import fuzzy
+from pyspark.sql import functions as F
+
+from shellac.operators import fuzzy, recommend
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +29,11 @@ def test_tracks_shuffle_lines_for_orders_and_parts_only(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     merges = [line.split("[")[1].split("#")[0] for line in plan.splitlines() if "SortMergeJoin" in line]
     assert merges == ["l_partkey", "l_orderkey", "o_custkey", "s_nationkey"]
+
+
+def test_facts_read_the_tracks_once(spark):
+    tracks = catalog.tracks(spark, SF)
+    facts = recommend.library_facts(tracks, F.lit("studio"))
+    assert not any("lineitem" in name for name in facts.inputFiles())
+    assert facts.first()["tracks"] == tracks.count()
+    assert recommend.library_facts(tracks.limit(0), F.lit("studio")).first()[:2] == (0, 0.0)
