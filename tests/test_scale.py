@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shellac.operators import fuzzy, recommend
+from shellac.operators import fuzzy, likeness, recommend
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +37,11 @@ def test_facts_read_the_tracks_once(spark):
     assert not any("lineitem" in name for name in facts.inputFiles())
     assert facts.first()["tracks"] == tracks.count()
     assert recommend.library_facts(tracks.limit(0), F.lit("studio")).first()[:2] == (0, 0.0)
+
+
+def test_candidates_share_artists_and_titles(spark):
+    """A common artist among two and a common word are too little; "the " alone and containment are not."""
+    shape = "class long, title string, artists array<string>, hash string, fingerprint string"
+    rows = [(0, "red moon", ["a", "b"]), (1, "red moon", ["a", "c"]), (2, "red moon", ["a", "b"]), (3, "red sun", ["a", "b"]), (4, "red moon live", ["a", "b"]), (5, "red moon", ["the d"]), (6, "red moon", ["d"])]
+    classes = spark.createDataFrame([(*r, None, None) for r in rows], shape)
+    assert {tuple(r) for r in likeness.candidates(classes, 0.85).collect()} == {(0, 2), (0, 4), (2, 4), (5, 6)}
