@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shellac.operators import training
+from shellac.sources import catalog
 
 WORDS = {"Rock": ["guitar", "loud", "amp", "riff"], "Jazz": ["sax", "swing", "blue", "trio"], "Folk": ["fiddle", "hill", "ballad", "reel"]}
 
@@ -60,3 +61,12 @@ def test_moods(spark):
     weights = training.importances(model)
     assert sum(weights.values()) == pytest.approx(1) and min(weights["valence"], weights["energy"]) > max(weights["danceability"], weights["acousticness"])
     assert all(len(r.moods) <= 3 for r in training.predict_mood(model, frame).collect()) and training.predict_mood(model, frame).count() == 401
+
+
+def test_learning_reads_the_rows_once(spark):
+    """What is learned from is written, so the many passes of learning don't join the tracks again; labels are broadcast."""
+    rows = catalog.tracks(spark, "/root/testdata/sf0.001").select("recording_id", F.col("title").alias("text"), "genre")
+    split = training.split_rows(rows, "genre", ["recording_id"])
+    assert not any("lineitem" in name for name in split.inputFiles())
+    assert "SortMergeJoin" not in split._jdf.queryExecution().sparkPlan().toString()
+    assert split.count() == rows.filter("trim(genre) <> ''").count()
