@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shellac.operators import fuzzy, likeness, recommend
+from shellac.operators import fuzzy, likeness, organizing, recommend
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,13 @@ def test_candidates_share_artists_and_titles(spark):
     rows = [(0, "red moon", ["a", "b"]), (1, "red moon", ["a", "c"]), (2, "red moon", ["a", "b"]), (3, "red sun", ["a", "b"]), (4, "red moon live", ["a", "b"]), (5, "red moon", ["the d"]), (6, "red moon", ["d"])]
     classes = spark.createDataFrame([(*r, None, None) for r in rows], shape)
     assert {tuple(r) for r in likeness.candidates(classes, 0.85).collect()} == {(0, 2), (0, 4), (2, 4), (5, 6)}
+
+
+def test_layout_reads_the_files_once(spark):
+    """Problems come from a row for each directory, whatever they are asked for; odd paths stay what they were."""
+    tracks = catalog.tracks(spark, SF)
+    assert not any("lineitem" in name for name in organizing.validate_layout(tracks.select("path"), ("music",)).inputFiles())
+    paths = ["/a/x.mp3", "/a/b/scan.png", "/a/b/c/y.FLAC", "/d/scan.png", "/d/scan.png", "/z.mp3", "/z.mp3", "/z.txt", "w.ogg", "e/scan.png", "/f", None]
+    found = organizing.validate_layout(spark.createDataFrame([(p,) for p in paths], "path string"), ("a", "e", "g")).collect()
+    want = [("in_root", "/z.mp3"), ("in_root", "w.ogg"), ("missing", "g"), ("no_media", "/d"), ("no_media", "e")]
+    assert sorted(tuple(r) for r in found) == want
