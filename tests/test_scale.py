@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from shellac.operators import fuzzy, likeness, organizing, recommend
+from shellac.operators import classify, fuzzy, likeness, organizing, recommend
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,11 @@ def test_layout_reads_the_files_once(spark):
     found = organizing.validate_layout(spark.createDataFrame([(p,) for p in paths], "path string"), ("a", "e", "g")).collect()
     want = [("in_root", "/z.mp3"), ("in_root", "w.ogg"), ("missing", "g"), ("no_media", "/d"), ("no_media", "e")]
     assert sorted(tuple(r) for r in found) == want
+
+
+def test_genres_by_one_search_each(spark):
+    rows = spark.createDataFrame([("Hip moon", "Club", "x"), ("shipping", "hops", "Rocks"), ("swing-fusion", None, "ost"), ("", "", "")], "t string, a string, p string").coalesce(1)
+    found = rows.select(classify.genres_of(F.col("t"), F.col("a"), F.col("p"), F.lit(None).cast("string")).alias("f"))
+    assert [r.f.genres for r in found.collect()] == [["electronic", "hiphop"], [], ["jazz", "soundtrack"], []]
+    plan = rows.select(classify.genres_of(F.col("t"), F.col("a"), F.col("p"), F.col("p"))["genres"].alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == len(classify.GENRE_WORDS)
