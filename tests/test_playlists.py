@@ -116,3 +116,17 @@ def test_advice(spark):
         ("rule", 1, "Live Recordi"), ("rule", 2, "High Quality"),
         ("step", 1, "Run duplicat"), ("step", 2, "Run MusicBra"), ("step", 3, "Consider con"), ("step", 4, "Manual clean"), ("step", 5, "Normalize fi"),
     ]
+
+
+def test_playlist_looks_at_lists_in_turn(spark, monkeypatch):
+    """Tracks that share the highest score: the least id, wherever it stands in the lists, also by a length that isn't near."""
+    monkeypatch.setattr(playlists, "FIRST_LOOK", 1)
+    monkeypatch.setattr(playlists, "MORE", 2)
+    names = [f"supplier{i:03}" for i in range(40)]
+    tracks = [(f"t{i:02}", "the large ring", ["zzz" if i < 25 else names[i]], 100.0 + i % 3) for i in range(40)]
+    tracks += [("t20x", "A Lrge ring", ["b", "The supplier007"], 125.0), ("t30x", "large ring", ["supplier006"], None)]
+    entries = [("a", "lrge ring", ["supplier008"], 101.0), ("b", "lrge ring", ["supplier007"], 101.0), ("c", "lrge ring", ["zzy"], 500.0), ("d", "large ring!", ["Supplier006."], 101.0)]
+    entries, tracks = spark.createDataFrame(entries, COLUMNS.format("entry")), spark.createDataFrame(tracks, COLUMNS.format("recording_id"))
+    got = {r.entry: (r.recording_id, r.score) for r in playlists.match_playlist(entries, tracks).collect()}
+    assert got.pop("b") == ("t20x", 1.0)
+    assert got["a"][1] == got["d"][1] == 1.0 and got["a"][0] > "t24" and "c" not in got
