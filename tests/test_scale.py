@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shellac.operators import classify, fuzzy, likeness, organizing, recommend
+from shellac.plans import nesting
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,8 @@ def test_genres_by_one_search_each(spark):
     assert [r.f.genres for r in found.collect()] == [["electronic", "hiphop"], [], ["jazz", "soundtrack"], []]
     plan = rows.select(classify.genres_of(F.col("t"), F.col("a"), F.col("p"), F.col("p"))["genres"].alias("g"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == len(classify.GENRE_WORDS)
+
+
+def test_payloads_are_parsed_once(spark):
+    plan = nesting.PAIRS["a12_flatten_reference"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
