@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from shellac.operators import classify, fuzzy, likeness, organizing, recommend
+from shellac.operators import classify, fuzzy, layout, likeness, organizing, patterns, recommend
 from shellac.plans import nesting
+from shellac.plans import upkeep as upkeep_plans
 from shellac.sources import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,23 @@ def test_genres_by_one_search_each(spark):
 def test_payloads_are_parsed_once(spark):
     plan = nesting.PAIRS["a12_flatten_reference"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_moves_are_read_and_shuffled_once(spark):
+    """Numbered names and files that are there count whatever their order; other columns pass."""
+    moves = [("1", "a.mp3"), ("2", "a.mp3"), ("3", "a (7).mp3"), ("4", "b.mp3"), ("5", "b.mp3"), ("6", "c (2) (3).x"), ("7", "c (2).x"), ("8", "c (2).x"), ("9", None)]
+    moves = spark.createDataFrame([(*m, m[0]) for m in moves], "recording_id string, target string, kind string")
+    there = spark.createDataFrame([("b.mp3",), ("b.mp3",), ("b (4).mp3",), (None,)], "target string")
+    got = {r.recording_id: (r.conflict, r.final) for r in layout.plan_moves(moves, there, ("kind",)).filter("kind = recording_id").collect()}
+    assert got == {
+        "1": (False, "a.mp3"), "2": (True, "a (8).mp3"), "3": (False, "a (7).mp3"), "4": (True, "b (5).mp3"), "5": (True, "b (6).mp3"),
+        "6": (False, "c (2) (3).x"), "7": (False, "c (2).x"), "8": (True, "c (2) (4).x"), "9": (False, None),
+    }
+    plan = upkeep_plans.PAIRS["g25_preview_stats"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("Relation") == 6
+
+
+def test_folders_of_a_pattern_are_cleaned_without_arrays(spark):
+    rows = catalog.tracks(spark, SF)
+    plan = rows.select(patterns.pattern_path(patterns.Pattern("decade"), patterns.values_of()).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan
