@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shellac.operators import covers, matching
@@ -104,3 +105,14 @@ def test_columns_and_matches(spark):
     r = pair.select(covers.correlation(pair.a, pair.b), covers.euclidean(pair.a, pair.b), covers.euclidean(pair.a, pair.c), covers.correlation(pair.a, pair.c)).first()
     assert r[0] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 8.5])[0, 1]) and r[1] == pytest.approx(1 - np.sqrt(1 + 4 + 4.5**2) / 10) and r[2] == pytest.approx(0.6) and r[3] is None
     assert covers.similar_tracks(frame.limit(0), frame).count() == covers.similar_tracks(frame, frame.limit(0), k=3).count() == 0
+
+
+def test_matches_leave_a_task_in_bounded_batches(spark):
+    """Where all tracks are like all queries, a task holds few of the pairs; frames of different widths match nothing."""
+    frames = np.arange(8.0).reshape(2, 4)
+    ids = np.arange(3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(3000, 60.0)), pa.array([frames.tolist()] * 3000)], ["id", "seconds", "frames"])
+    sizes = [b.num_rows for b in covers._against([(q, 60.0, frames) for q in range(20)], "dtw", 0.5, 0.4, None)(iter([batch]))]
+    assert sum(sizes) == 20 * 2999 and max(sizes) < covers.ROWS_AT_ONCE + 3000
+    rows = spark.createDataFrame([(1, 60.0, [[1.0, 2.0], [3.0]]), (2, 60.0, [[1.0], [3.0]]), (3, 60.0, [[1.0], [3.0]])], "id long, seconds double, frames array<array<double>>")
+    assert sorted((r.query, r.track, r.score) for r in covers.similar_tracks(rows, rows, "dtw").collect()) == [(2, 3, 1.0), (3, 2, 1.0)]
