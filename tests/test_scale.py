@@ -1,9 +1,10 @@
 """What keeps queries in bounds on large tables: plans and tables that are small here and large elsewhere."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shellac.operators import classify, fuzzy, layout, likeness, organizing, patterns, recommend
-from shellac.plans import nesting
+from shellac.plans import nesting, registry
 from shellac.plans import upkeep as upkeep_plans
 from shellac.sources import catalog
 
@@ -90,3 +91,8 @@ def test_folders_of_a_pattern_are_cleaned_without_arrays(spark):
     rows = catalog.tracks(spark, SF)
     plan = rows.select(patterns.pattern_path(patterns.Pattern("decade"), patterns.values_of()).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" not in plan
+
+
+@pytest.mark.parametrize("name", ["d5_fill_from_lookup"])
+def test_both_sides_of_a_join_come_from_one_read_of_the_tracks(spark, name):
+    assert not any("lineitem" in file for file in registry.QUERIES[name](spark, SF).inputFiles())
