@@ -93,6 +93,6 @@ def test_folders_of_a_pattern_are_cleaned_without_arrays(spark):
     assert "array_join" not in plan
 
 
-@pytest.mark.parametrize("name", ["d5_fill_from_lookup", "l8_identical_files"])
+@pytest.mark.parametrize("name", ["d5_fill_from_lookup", "l8_identical_files", "l14_plan_by_release"])
 def test_both_sides_of_a_join_come_from_one_read_of_the_tracks(spark, name):
     assert not any("lineitem" in file for file in registry.QUERIES[name](spark, SF).inputFiles())
