@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shellac.llm import exact, langid, mixing, neardup, packing
-from shellac.llm.scratch import free_name, semi_join, written
+from shellac.llm.scratch import free_name, if_small, semi_join, written
 from shellac.ship import ship
 
 #: Identified languages that the corpus is meant to have; None takes every language learned.
@@ -21,6 +22,27 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, and that column's name, without a copy of the texts where `docs` is a Parquet table
+    as it was read: there a row is known by its file and its place in it. Other tables are written, as by _keyed, and so are
+    those that have a file twice."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return _keyed(docs)
+    row, file, number = (free_name(docs, name) for name in ("row_key", "row_file", "file_number"))
+    try:
+        place = docs.metadataColumn("_metadata")
+        placed = docs.select("*", place.getField("row_index").alias(row), place.getField("file_path").alias(file))
+    except AnalysisException:
+        return _keyed(docs)
+    files = written(placed.groupBy(file).agg(F.count(F.lit(1)).alias("rows"), F.max(row).alias("last")))
+    if not files.filter("rows != last + 1").isEmpty():
+        return _keyed(docs)
+    # a row for each file
+    numbers = files.select(file, F.row_number().over(Window.orderBy(file)).cast("long").alias(number))
+    key = F.shiftleft(F.col(number), 33) + F.col(row)
+    return placed.join(if_small(numbers), file).select(*[F.col(f"`{c}`") for c in docs.columns], key.alias(row)), row
+
+
 def _one_of_each(keyed: DataFrame, row: str, grouped: DataFrame, group: str) -> DataFrame:
     """Of the rows in each group (`grouped` has the row's number as doc_id, and `group`), the one of least doc_id, null
     last, and of rows that repeat an id, the first."""
@@ -80,7 +102,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Texts that are null or without words have no share and go. Rows are told apart by a number of their own, so rows
     that repeat an id, or have none, are taken each as often as its own place in the mix says."""
     ship(spark)
-    keyed, row = _keyed(docs)
+    keyed, row = _placed(docs)
     times = free_name(keyed, "times")
     taken = mixing.mix_sources(keyed, key_column=row).filter("taken > 0")
     taken = taken.select(row, F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
