@@ -38,6 +38,12 @@ def test_best_matches_are_all_pairs(spark):
     assert got == want
 
 
+def test_the_least_text_among_candidates_of_a_place(spark):
+    candidates = spark.createDataFrame([("moon2", 5), ("moon1", 5), ("moon0", 7), ("zz", 3), ("yy", 3)], "text string, place long")
+    got = {tuple(r) for r in matching.best_matches(spark.createDataFrame([("moon",), ("QQ",)], "text string"), candidates).collect()}
+    assert got == {("moon", "moon1", 0.8), ("QQ", "yy", 0.0)}
+
+
 def test_no_candidates(spark):
     texts = spark.createDataFrame([("a",)], "text string")
     assert matching.best_matches(texts, spark.createDataFrame([], "text string, place long")).count() == 0
