@@ -30,6 +30,21 @@ def test_earlier_duplicates_go_on(spark, tmp_path):
     assert events.drained(state.earlier_duplicates(events.read_files(spark, files)), folder).count() == 6
 
 
+def test_earlier_duplicates_rank_a_batch_at_once(spark, tmp_path):
+    """No Python state for each key; a batch that is repeated gives the same rows, not more."""
+    files, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    drain = lambda: events.drained(state.earlier_duplicates(events.read_files(spark, files)), folder)
+    for n in (1, 2):
+        spark.range(3000).selectExpr("id % 2000 AS key", f"concat('{n}-', lpad(id, 4, '0')) AS recording_id", "id AS place").coalesce(1).write.mode("append").parquet(files)
+        found = {r.recording_id: (r.earlier, r.previous) for r in drain().collect()}
+    assert not (tmp_path / "out" / "state" / "state").exists()
+    assert len(found) == 6000 and found["1-0005"] == (0, None) and found["1-2005"] == (1, "1-0005")
+    assert found["2-0005"] == (2, "1-2005") and found["2-2005"] == (3, "2-0005") and found["2-1005"] == (1, "1-1005")
+    for mark in (tmp_path / "out" / "state" / "commits").glob("*1*"):
+        mark.unlink()
+    assert {r.recording_id: (r.earlier, r.previous) for r in drain().collect()} == found and drain().count() == 6000
+
+
 def test_reads_expire(spark, tmp_path):
     schema, files, folder = "key string, ts timestamp, record long, value double", str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("a", _at(0), 1, 1.5), ("a", _at(299), 2, None), ("a", _at(300), 3, None), ("b", _at(10), 4, None), ("a", _at(310), 5, 2.5), (None, _at(0), 6, 1.0)]
