@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shellac.operators import classify, fuzzy, layout, likeness, organizing, patterns, recommend
+from shellac.operators import classify, fuzzy, grouping, layout, likeness, organizing, patterns, recommend
+from shellac.plans import grouping as grouping_plans
 from shellac.plans import nesting, registry
 from shellac.plans import upkeep as upkeep_plans
 from shellac.sources import catalog
+from shellac.tables import dropped, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +52,32 @@ def test_candidates_share_artists_and_titles(spark):
     assert {tuple(r) for r in likeness.candidates(classes, 0.85).collect()} == {(0, 2), (0, 4), (2, 4), (5, 6)}
 
 
+def _shuffle_files(spark):
+    files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    table = written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    assert not _shuffle_files(spark) - before and table.select("k").collect()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0])
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert system.exists(place)
+    dropped(table)
+    assert not system.exists(place)
+
+
+@pytest.mark.parametrize("groups", [likeness.like_recordings, grouping.linked_groups, grouping.fast_duplicate_groups])
+def test_likeness_meets_the_tracks_in_one_join_at_the_end(spark, groups):
+    """Rows aren't joined to their class first, nor are the tracks read again."""
+    tracks = grouping_plans.parts(catalog.tracks(spark, SF)).limit(500)
+    found = groups(tracks, grouping_plans.ORDER)
+    assert not any("lineitem" in name for name in found.inputFiles())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_layout_reads_the_files_once(spark):
     """Problems come from a row for each directory, whatever they are asked for; odd paths stay what they were."""
     tracks = catalog.tracks(spark, SF)
