@@ -121,6 +121,15 @@ def test_folders_of_a_pattern_are_cleaned_without_arrays(spark):
     assert "array_join" not in plan
 
 
-@pytest.mark.parametrize("name", ["d5_fill_from_lookup", "l8_identical_files", "l14_plan_by_release"])
+def test_suffixes_without_a_search(spark):
+    paths = ["/a/b.mp3", "/a.x/b", "/a/.hidden", ".x", "a..", "/a/b.c.d", "/a/", "", "b.", "/x/é.ü", None]
+    rows = spark.createDataFrame([(p, "a, b", "A", "B", "T", 2000, "G", 1, 1) for p in paths], "path string, artists_raw string, primary_artist string, album string, title string, year int, genre string, track_number int, disc_number int")
+    suffix = patterns.values_of()["file_extension"]
+    assert "regexp_extract" not in str(suffix)
+    got = rows.coalesce(1).select("path", suffix.alias("s"), F.regexp_extract("path", "[^/](\\.[^./]*)$", 1).alias("want")).collect()
+    assert [r.s for r in got] == [r.want for r in got] and got[0].s == ".mp3" and got[-1].s is None
+
+
+@pytest.mark.parametrize("name", ["d5_fill_from_lookup", "l7_plan_organization", "l8_identical_files", "l14_plan_by_release"])
 def test_both_sides_of_a_join_come_from_one_read_of_the_tracks(spark, name):
     assert not any("lineitem" in file for file in registry.QUERIES[name](spark, SF).inputFiles())
