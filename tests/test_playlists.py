@@ -130,3 +130,17 @@ def test_playlist_looks_at_lists_in_turn(spark, monkeypatch):
     got = {r.entry: (r.recording_id, r.score) for r in playlists.match_playlist(entries, tracks).collect()}
     assert got.pop("b") == ("t20x", 1.0)
     assert got["a"][1] == got["d"][1] == 1.0 and got["a"][0] > "t24" and "c" not in got
+
+
+def test_equal_entries_and_tracks_are_matched_once(spark, monkeypatch):
+    """Copies get the result of their like, an entry of several rows the best of theirs, and of equal tracks the least id counts."""
+    asked, there = [], []
+    matched = playlists._kinds_matched
+    monkeypatch.setattr(playlists, "_kinds_matched", lambda e, t, least: asked.append(e.count()) or there.append(t.count()) or matched(e, t, least))
+    shape = "{} string, title string, artists array<string>, seconds double"
+    entries = spark.createDataFrame([(f"e{i:02}", "Red Moom", ["Anna"], None if i % 2 else 100.0) for i in range(20)] + [("e01", "Blue Sky", ["Bob"], 90.0)], shape.format("entry"))
+    tracks = spark.createDataFrame([(f"r{i:02}", "Red Moon", ["Anna"], 100.0) for i in range(9, -1, -1)] + [("s1", "Blue Sky", ["Bob"], 90.0)], shape.format("recording_id"))
+    got = {r.entry: (r.recording_id, r.score) for r in playlists.match_playlist(entries, tracks).collect()}
+    assert asked == [3] and there == [2]
+    assert got["e01"] == ("s1", 1.0) and len(got) == 20
+    assert {got[e][0] for e in got if e != "e01"} == {"r00"} and got["e00"][1] > got["e03"][1] > 0.7
